@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findlake.operators import orphans, packed
+from findlake.operators import nested, orphans, packed
 from findlake.session import table
 
 
@@ -73,3 +73,10 @@ ORACLES: dict[str, str] = {
     "p6_report": _P6 + """SELECT source_table, strftime(t0, '%Y-%m') AS month_seen,
        CASE WHEN ever = 0 THEN 'missing' WHEN before > 0 THEN 'deleted' ELSE 'late' END AS orphan_kind, count(*) AS n_orphans FROM s WHERE alive = 0 GROUP BY ALL""",
 }
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return nested.advisory_children(nested.advisory_triples(table(spark, d, "advisories")))
+
+
+QUERIES["p2_found"] = p2_found
