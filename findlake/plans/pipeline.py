@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findlake.operators import nested, orphans, packed
+from findlake.operators import drift, nested, orphans, packed
 from findlake.session import table
 
 
@@ -80,3 +80,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["p2_found"] = p2_found
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.drift_report(table(spark, d, "raw_record"))
+
+
+def p4_unified(spark: SparkSession, d: str) -> DataFrame:
+    return drift.unified(table(spark, d, "raw_record"))
+
+
+QUERIES |= {"p4_found": p4_found, "p4_unified": p4_unified}
