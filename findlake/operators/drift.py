@@ -33,6 +33,8 @@ K = 128
 #: Least share of common records on which a renamed field agrees, least bits of evidence, and least likeness of names
 #: where the values tell nothing (constant columns).
 AGREE, BITS, NAMES = 0.8, 3.0, 0.55
+#: Common records on which two columns must agree without exception where the values are too common to tell more.
+ALL_AGREE = 3
 RECORD_KEYS = ("finding_id", "function_id")
 
 
@@ -134,15 +136,13 @@ def evidence(a: str, b: str, old: dict, new: dict) -> float:
     same = [k for k in common if old[k][0] == new[k][0]]
     bits = sum(-math.log2(counts[old[k][0]] / total) for k in same)
     one_old, one_new = {v for v in old.values()}, {v for v in new.values()}
-    if len(one_old) == 1 and len(one_new) == 1:  # constants: a version that may have been raised
+    if len(one_old) == 1 and len(one_new) == 1 and names >= NAMES:  # constants: a version that may have been raised
         (x,), (y,) = one_old, one_new
-        raised = x[1] is not None and y[1] is not None and x[1] <= y[1]
-        return 1.0 + names if names >= NAMES and (x[0] == y[0] or raised) else 0.0
+        return 1.0 + names if x[0] == y[0] or (x[1] is not None and y[1] is not None and x[1] <= y[1]) else 0.0
     if common:
         share = len(same) / len(common)
-        if share >= AGREE and (bits >= BITS or names >= NAMES):
-            return share * (1.0 + math.log2(1.0 + bits)) + names
-        return 0.0
+        certain = bits >= BITS or names >= NAMES or (share == 1.0 and len(same) >= ALL_AGREE)
+        return share * (1.0 + math.log2(1.0 + bits)) + names if share >= AGREE and certain else 0.0
     a_set, b_set = {v[0] for v in old.values()}, {v[0] for v in new.values()}
     like = len(a_set & b_set) / max(1, min(len(a_set), len(b_set)))
     return like + names if like >= AGREE and names >= NAMES and a_set else 0.0
