@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findlake.llm import radix, truth
+from findlake.llm import bpe, packing, radix, truth
 from findlake.session import table
 
 
@@ -19,9 +19,40 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return radix.copies(radix.finding_keys(table(spark, d, "finding")))
 
 
+def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """The surviving severity and score of each finding when the models' reliability is estimated from their votes."""
+    claims = truth.survivor_claims(truth.candidates(table(spark, d, "finding"))).where("field <> 'primary'")
+    winners, _ = truth.truth_discovery(claims, truth.reliabilities(table(spark, d, "reviewer")))
+    return winners.select(F.col("object").alias("finding_id"), F.col("field").alias("field_name"), F.col("value").alias("field_value"), F.col("row").alias("finding_row"))
+
+
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    """One record for each set of copies, with the number of copies."""
+    terminals, _ = radix.collapse(radix.finding_keys(table(spark, d, "finding")))
+    return terminals.select(F.col("first").alias("first_row"), F.col("n").alias("n_copies"))
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode_corpus(table(spark, d, "documents"))
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return packing.pack(bpe.count_tokens(docs), "doc_id", n_items=docs.count())
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p8_packed(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_survivors": p1_survivors,
     "p5_found": p5_found,
+    "p5_counts": p5_counts,
+    "p7_ids": p7_ids,
+    "p8_packed": p8_packed,
+    "p8_fill": p8_fill,
 }
 
 #: Letters and digits only, in lower case.
@@ -50,4 +81,5 @@ WITH k AS (SELECT finding_row, {", ".join(_CANON(c) + f" AS k{i}" for i, c in en
      g AS (SELECT finding_row, min(finding_row) OVER (PARTITION BY k0, k1, k2, k3, k4, k5, k6, k7) AS first_row FROM k)
 SELECT first_row, finding_row AS copy_row FROM g WHERE first_row <> finding_row
 """
-ORACLES: dict[str, str] = {"p1_found": _P1, "p5_found": _P5}
+_P5_COUNTS = _P5.rsplit("SELECT", 1)[0] + "SELECT first_row, count(*) AS n_copies FROM g GROUP BY first_row"
+ORACLES: dict[str, str] = {"p1_found": _P1, "p5_found": _P5, "p5_counts": _P5_COUNTS}
