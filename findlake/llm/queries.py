@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findlake.llm import bpe, packing, radix, truth
+from findlake.llm import bpe, packing, radix, truncation, truth
 from findlake.session import table
 
 
@@ -45,6 +45,14 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p8_packed(spark, d))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "documents")).select("doc_id")
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.report(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_survivors": p1_survivors,
@@ -53,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
     "p8_packed": p8_packed,
     "p8_fill": p8_fill,
+    "p9_found": p9_found,
+    "p9_report": p9_report,
 }
 
 #: Letters and digits only, in lower case.
