@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +31,29 @@ def local_session(cores: int | str = 8, shuffle: int = 8, memory: str = "8g") ->
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that Python workers anywhere can import it."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    shared = shared_dir(spark)
+    folder = Path(shared.removeprefix("file://")) if shared.startswith(("file:", "/")) else Path(tempfile.mkdtemp())
+    folder.mkdir(parents=True, exist_ok=True)
+    package = Path(__file__).resolve().parent
+    target = folder / f"findlake-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder. Timestamps stay without a zone, so filters on them reach the scan."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
