@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,11 +47,37 @@ def evidence_aggregate(df: DataFrame, by: list[str], verdict: str) -> DataFrame:
     return df.groupBy(*by).agg(F.when(F.count_if(F.col(verdict).isNull()) > 0, "inconclusive").otherwise(same).alias("verdict"), F.count("*").alias("n"))
 
 
+#: Votes in distinct patterns up to which a class is iterated in one task.
+LOCAL_PATTERNS = 200_000
+
+
+def _em_class(pdf: pd.DataFrame, a: float, b: float, start: float, max_iter: int, tol: float, eps: float) -> pd.DataFrame:
+    """The rates of one class's models after EM over its weighted patterns."""
+    models, m = np.unique(pdf["model"].to_numpy(dtype=str), return_inverse=True)
+    _, p = np.unique(pdf["p"].to_numpy(), return_inverse=True)
+    yes, w = pdf["verdict"].to_numpy(dtype=bool), pdf["w"].to_numpy(dtype=float)
+    se, sp = np.full(len(models), start), np.full(len(models), start)
+    logit = math.log(a / b) if a != b else 0.0
+    for _ in range(max_iter):
+        x, y = np.clip(se, eps, 1 - eps)[m], np.clip(sp, eps, 1 - eps)[m]
+        odds = np.bincount(p, np.where(yes, np.log(x) - np.log(1 - y), np.log(1 - x) - np.log(y)))
+        q = (1 / (1 + np.exp(-(odds + logit))))[p] * w
+        new_se = (np.bincount(m, q * yes, len(models)) + a) / (np.bincount(m, q, len(models)) + a + b)
+        new_sp = (np.bincount(m, (w - q) * ~yes, len(models)) + b) / (np.bincount(m, w - q, len(models)) + a + b)
+        moved = max(np.abs(new_se - se).max(), np.abs(new_sp - sp).max())
+        se, sp = new_se, new_sp
+        if moved < tol:
+            break
+    return pd.DataFrame({"cls": pdf["cls"].iloc[0], "model": models, "se": se, "sp": sp})
+
+
 def dawid_skene(votes: DataFrame, prior: tuple[float, float] = (1.0, 1.0), start: float = 0.8, max_iter: int = 50, tol: float = 1e-4, eps: float = 1e-6) -> tuple[DataFrame, DataFrame]:
     """(items: cls, item, posterior, n_models; models: cls, model, sensitivity, specificity) by EM per class.
 
     Items with the same class and votes are one pattern with a weight, so an iteration works on patterns. The class
-    rate stays at the prior's mean; the prior also smooths the models' rates. Stops when no rate moves by tol."""
+    rate stays at the prior's mean; the prior also smooths the models' rates. Stops when no rate moves by tol. Up to
+    LOCAL_PATTERNS patterns (counted) each class is one task that iterates in memory, stopping by itself; beyond, each
+    iteration is two aggregations over the patterns."""
     a, b = prior
     logit = math.log(a / b) if a != b else 0.0
     cast = votes.where(F.col("verdict").isNotNull())
@@ -58,7 +85,12 @@ def dawid_skene(votes: DataFrame, prior: tuple[float, float] = (1.0, 1.0), start
     items = written(cast.groupBy("cls", "item").agg(vector), "panel")
     patterns = items.groupBy("cls", "v").agg(F.count("*").alias("w")).withColumn("p", F.xxhash64("cls", F.to_json("v")))
     long = written(patterns.select("cls", "p", "w", F.inline("v")), "patterns")
-    rates = written(long.select("cls", "model").distinct().select("cls", "model", F.lit(start).alias("se"), F.lit(start).alias("sp")), "rates")
+    if long.count() <= LOCAL_PATTERNS:
+        run = lambda pdf: _em_class(pdf, a, b, start, max_iter, tol, eps)
+        rates = written(long.groupBy("cls").applyInPandas(run, "cls string, model string, se double, sp double"), "rates")
+        max_iter = 0
+    else:
+        rates = written(long.select("cls", "model").distinct().select("cls", "model", F.lit(start).alias("se"), F.lit(start).alias("sp")), "rates")
     clip = lambda c: F.greatest(F.lit(eps), F.least(F.lit(1 - eps), c))
 
     def posteriors(rates: DataFrame) -> DataFrame:
