@@ -42,7 +42,7 @@ def canonical_pairs(col: Column) -> Column:
     """Key-value pairs in any order and notation (k=v;k=v, "k": "v", lines) as sorted canonical pairs."""
     pairs = F.split(col, r"[;,|\r\n]+")
     clean = F.transform(pairs, lambda p: F.concat_ws("=", F.transform(F.split(p, "[=:]", 2), alnum)))
-    return F.coalesce(F.concat_ws(";", F.array_sort(F.filter(clean, lambda p: ~p.isin("", "=")))), F.lit(NULL))
+    return F.when(col.isNull(), NULL).otherwise(F.concat_ws(";", F.array_sort(F.filter(clean, lambda p: ~p.isin("", "=")))))
 
 
 def canonical_key(fields: list[Column]) -> Column:
