@@ -116,7 +116,7 @@ def wheel_tags(filename: Column) -> Column:
 def numeric_version(text: Column) -> Column:
     """array<int> of the first dotted number in a text; null if there is none. Arrays order part by part."""
     found = F.regexp_extract(text, r"(\d+(?:\.\d+)*)", 1)
-    return F.when(found != "", F.transform(F.split(found, r"\."), lambda x: x.cast("int")))
+    return F.when(found != "", F.transform(F.split(found, r"\."), lambda x: x.try_cast("int")))
 
 
 def display_rule(rule: Column) -> Column:

@@ -42,13 +42,6 @@ def decay_weight(month: Column, now: str, half_life_days: float | None) -> Colum
     return F.pow(F.lit(0.5), F.greatest(months, F.lit(0)) * MONTH_DAYS / half_life_days)
 
 
-def tie_rank(value: Column, by: list[str]) -> Column:
-    """Average rank with ties."""
-    order = Window.partitionBy(*by).orderBy(value)
-    ties = Window.partitionBy(*by, value)
-    return F.rank().over(order) + (F.count("*").over(ties) - 1) / 2
-
-
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """by, n, rho: rank correlation with ties averaged; null for fewer than two rows or a constant side.
 
@@ -61,7 +54,7 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
         return counts.select(*by, c, (F.coalesce(below, F.lit(0)) + (F.col("_k") + 1) / 2).alias(f"_r{c}"))
 
     ranked = rows.join(ranks(x), [*by, x]).join(ranks(y), [*by, y])
-    rho = F.corr(f"_r{x}", f"_r{y}")
+    rho = F.try_divide(F.covar_pop(f"_r{x}", f"_r{y}"), F.stddev_pop(f"_r{x}") * F.stddev_pop(f"_r{y}"))
     out = ranked.groupBy(*by).agg(F.count("*").alias("n"), rho.alias("rho"), F.countDistinct(x).alias("_dx"), F.countDistinct(y).alias("_dy"))
     constant = (F.col("_dx") < 2) | (F.col("_dy") < 2)
     return out.select(*by, "n", F.when(~constant, F.round("rho", 6)).alias("rho"))

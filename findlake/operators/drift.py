@@ -50,7 +50,7 @@ def content(text: Column) -> Column:
     """The scalar leaves in a JSON text in one notation: no keys, lower case, numbers as doubles, flags as 0/1."""
     leaves = F.split(F.lower(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"\s*:', "")), r'[\[\]{},"\\]+')
     flag = F.transform(F.filter(leaves, lambda x: F.trim(x) != ""), lambda x: F.when(x == "true", "1").when(x == "false", "0").otherwise(F.trim(x)))
-    number = F.transform(flag, lambda x: F.coalesce(F.regexp_replace(x, r"^[a-z]+[-_ ]?(?=\d+$)", "").try_cast("double").cast("string"), x))
+    number = F.transform(flag, lambda x: F.coalesce(F.regexp_replace(x, r"^[a-z]+-(?=\d+$)", "").try_cast("double").cast("string"), x))
     plain = F.array_join(F.filter(number, lambda x: x != "null"), "\x1f")
     return F.regexp_replace(plain, r"^(\d+\.0)(?:\x1f0\.0)+$", "$1")
 

@@ -307,7 +307,7 @@ def highest_versions(spark: SparkSession, d: str) -> DataFrame:
     """The highest stable version that each advisory names."""
     v = F.explode(F.regexp_extract_all("json", F.lit(r'"(\d+\.\d+\.\d+)"'), F.lit(1)))
     t = table(spark, d, "advisories").select("osv_id", v.alias("v"))
-    return t.groupBy("osv_id").agg(F.max_by("v", F.transform(F.split("v", r"\."), lambda x: x.cast("int"))).alias("highest"))
+    return t.groupBy("osv_id").agg(F.max_by("v", F.transform(F.split("v", r"\."), lambda x: x.try_cast("int"))).alias("highest"))
 
 
 @query(r"""WITH t AS (SELECT osv_id, ecosystem, package, row_number() OVER (PARTITION BY ecosystem ORDER BY fetched_at DESC NULLS LAST, osv_id DESC, package) AS k FROM advisories) SELECT ecosystem, arg_min(osv_id, k) AS osv_id, min(k) AS steps FROM t WHERE k <= 20 AND package LIKE '%-%' GROUP BY 1""")

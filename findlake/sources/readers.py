@@ -80,14 +80,14 @@ def _down(pattern: str) -> Column:
 def lcov(spark: SparkSession, path: str) -> DataFrame:
     """file, line: executed lines of lcov records (SF: headers carried down to DA: rows)."""
     rows = _lines(spark, path).withColumn("file", _down(r"^SF:(.+)$")).where(F.col("line").rlike(r"^DA:\d+,[1-9]"))
-    return rows.select("file", F.regexp_extract("line", r"^DA:(\d+)", 1).cast("int").alias("line")).where("file is not null").distinct()
+    return rows.select("file", F.regexp_extract("line", r"^DA:(\d+)", 1).try_cast("int").alias("line")).where("file is not null").distinct()
 
 
 def gcov(spark: SparkSession, path: str) -> DataFrame:
     """file, line: executed lines of .gcov listings."""
     rows = _lines(spark, path).withColumn("file", _down(r"^\s*-:\s*0:Source:(.+)$"))
     hit = rows.where(F.col("line").rlike(r"^\s*[1-9]\d*\*?:\s*\d+:"))
-    return hit.select("file", F.regexp_extract("line", r"^\s*[1-9]\d*\*?:\s*(\d+):", 1).cast("int").alias("line")).where("file is not null").distinct()
+    return hit.select("file", F.regexp_extract("line", r"^\s*[1-9]\d*\*?:\s*(\d+):", 1).try_cast("int").alias("line")).where("file is not null").distinct()
 
 
 def gcov_functions(spark: SparkSession, path: str) -> DataFrame:
@@ -166,7 +166,7 @@ def image_platforms(spark: SparkSession, path: str) -> DataFrame:
 def hunks(text: Column) -> Column:
     """array<struct<old_start, old_lines, new_start, new_lines>> of a unified diff; missing counts are 1."""
     heads = F.regexp_extract_all(text, F.lit(r"(?m)^(@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@)"), F.lit(1))
-    part = lambda h, k: F.coalesce(F.nullif(F.regexp_extract(h, r"-(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))?", k), F.lit("")), F.lit("1")).cast("int")
+    part = lambda h, k: F.coalesce(F.nullif(F.regexp_extract(h, r"-(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))?", k), F.lit("")), F.lit("1")).try_cast("int")
     return F.transform(heads, lambda h: F.struct(part(h, 1).alias("old_start"), part(h, 2).alias("old_lines"), part(h, 3).alias("new_start"), part(h, 4).alias("new_lines")))
 
 
