@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 def json_documents(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """One document per file as `doc` (variant); NaN and Infinity are rejected, invalid files give null."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     doc = F.try_parse_json("value") if schema is None else F.from_json("value", schema, {"allowNonNumericNumbers": "false"})
     return files.select("file", doc.alias("doc"))
 
@@ -68,7 +68,7 @@ def dataflows(results: DataFrame) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("report"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
 
 
