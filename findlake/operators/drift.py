@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from findlake.session import written
+
 #: Records kept in the sketch of each column.
 K = 128
 #: Least share of common records on which a renamed field agrees, least bits of evidence, and least likeness of names
@@ -171,7 +173,7 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def drift_report(raw: DataFrame, k: int = K) -> DataFrame:
     """feed, file_name, drift_kind, field_name, new_name: every change of a file against the one before it."""
-    columns = profiles(field_rows(raw), k)
+    columns = written(profiles(field_rows(raw), k), "profiles")  # used for the file order and for both sides
     files = columns.groupBy("feed", "file_name").agg(F.max("written_at").alias("written_at"))
     order = Window.partitionBy("feed").orderBy("written_at", "file_name")
     pairs = files.select("feed", F.col("file_name").alias("to_file"), F.lag("file_name").over(order).alias("from_file")).where("from_file is not null")
