@@ -50,38 +50,52 @@ def canonical_key(fields: list[Column]) -> Column:
 
 
 class Trie:
-    """Counts keys; edges are the key's fields, a terminal holds [count, first row]."""
+    """Counts keys. Edges are the key's fields; a way without branches is kept as one leaf [rest, count, first row], so
+    memory goes with the keys and not with their fields. A key that ends where others go on is the leaf under None."""
 
     def __init__(self) -> None:
         self.root: dict = {}
         self.size = 0
 
-    def add(self, key: str, count: int, first: int) -> None:
-        *path, last = key.split(SEP)
-        node = self.root
-        for edge in path:
-            nxt = node.get(edge)
-            if nxt is None:
-                nxt = node[edge] = {}
-            node = nxt
-        end = node.get(last)
-        if end is None:
-            node[last] = [count, first]
-            self.size += 1
-        else:
-            end[0] += count
-            if first < end[1]:
-                end[1] = first
+    def add(self, key: str | None, count: int, first: int) -> None:
+        node, rest = self.root, key
+        while True:
+            if rest is None:
+                edge = tail = None
+            else:
+                edge, sep, tail = rest.partition(SEP)
+                tail = tail if sep else None
+            child = node.get(edge)
+            if child is None:
+                node[edge] = [tail, count, first]
+                self.size += 1
+                return
+            if type(child) is list:
+                if child[0] == tail:
+                    child[1] += count
+                    if first < child[2]:
+                        child[2] = first
+                    return
+                other, n, row = child  # two keys part here: push the leaf one field down
+                nxt: dict = {}
+                if other is None:
+                    nxt[None] = [None, n, row]
+                else:
+                    head, sep, below = other.partition(SEP)
+                    nxt[head] = [below if sep else None, n, row]
+                child = node[edge] = nxt
+            node, rest = child, tail
 
     def terminals(self) -> Iterator[tuple[str, int, int]]:
-        stack = [(self.root, "")]
+        stack: list[tuple[dict, tuple]] = [(self.root, ())]
         while stack:
-            node, prefix = stack.pop()
+            node, path = stack.pop()
             for edge, child in node.items():
+                here = path if edge is None else (*path, edge)
                 if type(child) is list:
-                    yield prefix + edge, child[0], child[1]
+                    yield SEP.join(here if child[0] is None else (*here, child[0])), child[1], child[2]
                 else:
-                    stack.append((child, prefix + edge + SEP))
+                    stack.append((child, here))
 
 
 def _frame(trie: Trie) -> pd.DataFrame:

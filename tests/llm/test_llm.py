@@ -141,6 +141,17 @@ def test_radix_plan_splits_until_buckets_fit(spark):
     assert len(plan) > 2 and all(c <= 20 or d == 1 for c, d in sizes.values()) and sum(c for c, _ in sizes.values()) == 250
 
 
+def test_trie_counts_like_a_dictionary():
+    rnd = random.Random(8)
+    trie, want = radix.Trie(), {}
+    for row in range(4000):
+        key = radix.SEP.join(rnd.choice(["a", "b", "", "ab"]) for _ in range(rnd.randint(1, 5)))
+        trie.add(key, 2, row)
+        n, first = want.get(key, (0, row))
+        want[key] = (n + 2, min(first, row))
+    assert sorted(trie.terminals()) == sorted((k, n, f) for k, (n, f) in want.items()) and trie.size == len(want)
+
+
 def test_copies_of_nothing(spark):
     assert rows_of(radix.copies(radix.finding_keys(frame(spark, [])))) == []
 
