@@ -305,4 +305,4 @@ def test_closing_puts_marks_and_footers_aside():
     assert truncation.closing("It is writ...\n\n[imported from board 4]") == ("It is writ", False, "ellipsis")
     assert truncation.closing("It is writ [truncated]") == ("It is writ", True, "bare")
     assert truncation.closing("It is written.\n-- \nsent by desk 4")[2] == "stop"
-    assert Counter(truncation.tokens("took=12ms a_b_c 1.2.3", {"took"}))["<n>ms"] == 1
+    assert Counter(truncation.tokens("took=12ms a_b_c 1.2.3", truncation.Shapes({"took"})))["<n>ms"] == 1
