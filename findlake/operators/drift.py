@@ -10,8 +10,8 @@
    counted in bits by how rare the agreeing values are, helped by the likeness of the values and of the names.
 4. Matched pairs are renames; the rest are added and removed fields; a changed type is a retype.
 
-Scale: one pass with a map-side limit to K rows per column (a window group limit), then groups of two files' profiles,
-i.e. 2 x fields x K rows, whatever the size of a file; the matching never sees more.
+Scale: one pass with a map-side limit to K rows per column (a window group limit), then batches of about PAIRS pairs of
+files' profiles, i.e. 2 x fields x K rows a pair, whatever the size of a file; the matching never sees more.
 
 Defined cases: lines that are null, not whole or not objects don't count; a null value shows that a field is there
 but has no type; lines sent twice count once per record key; a field with several types has its most frequent one.
@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -37,6 +38,8 @@ K = 128
 AGREE, BITS, NAMES = 0.8, 3.0, 0.55
 #: Common records on which two columns must agree without exception where the values are too common to tell more.
 ALL_AGREE = 3
+#: File pairs that are compared in one call.
+PAIRS = 100
 RECORD_KEYS = ("finding_id", "function_id")
 
 
@@ -57,6 +60,13 @@ def content(text: Column) -> Column:
     return F.regexp_replace(plain, r"^(\d+\.0)(?:\x1f0\.0)+$", "$1")
 
 
+def scalar(text: Column) -> Column:
+    """The content of one scalar without brackets, quotes and commas: the same as `content`, without arrays."""
+    s = F.lower(F.trim(text))
+    number = F.regexp_replace(s, r"^[a-z]+-(?=\d+$)", "").try_cast("double").cast("string")
+    return F.coalesce(number, F.when(s == "true", "1.0").when(s == "false", "0.0").otherwise(s))
+
+
 def field_rows(raw: DataFrame, record_keys: tuple[str, ...] = RECORD_KEYS) -> DataFrame:
     """feed, file_name, written_at, line_no, record, field, type, text, content: a row per top-level field of each whole line."""
     lines = raw.select("feed", "file_name", "written_at", "line_no", F.try_parse_json("body").alias("v"))
@@ -65,10 +75,16 @@ def field_rows(raw: DataFrame, record_keys: tuple[str, ...] = RECORD_KEYS) -> Da
     view = keyed.sparkSession
     fields = keyed.lateralJoin(view.tvf.variant_explode(F.col("v").outer()))
     rows = fields.where(~F.col("key").isin(*record_keys)).select("feed", "file_name", "written_at", "line_no", "record", F.col("key").alias("field"), _type(F.col("value")).alias("type"), F.col("value").alias("_v"))
-    packed = F.when((F.col("type") == "string"), F.try_variant_get("_v", "$", "string"))
-    inner = F.when(packed.rlike(r"^\s*[\[{]"), F.to_json(F.try_parse_json(packed)))
+    plain = F.when(F.col("type") == "string", F.try_variant_get("_v", "$", "string"))
     text = F.when(F.col("type").isNull(), None).otherwise(F.to_json("_v"))
-    return rows.select("feed", "file_name", "written_at", "line_no", "record", "field", "type", text.alias("text"), content(F.coalesce(inner, text)).alias("content"))
+    rows = rows.select("feed", "file_name", "written_at", "line_no", "record", "field", "type", text.alias("text"), plain.alias("plain"))
+    inner = F.when(F.col("plain").rlike(r"^\s*[\[{]"), F.to_json(F.try_parse_json("plain")))
+    simple = F.coalesce("plain", F.when(~F.col("type").isin("array", "object"), F.col("text")))
+    nested = simple.isNull() | simple.rlike(r'[\[\]{},"\\]')
+    return rows.select(
+        "feed", "file_name", "written_at", "line_no", "record", "field", "type", "text",
+        F.when(nested, content(F.coalesce(inner, F.col("text")))).otherwise(scalar(simple)).alias("content"),
+    )
 
 
 def profiles(rows: DataFrame, k: int = K) -> DataFrame:
@@ -83,6 +99,7 @@ def profiles(rows: DataFrame, k: int = K) -> DataFrame:
     return kinds.join(sketch, [*file, "field"], "left")
 
 
+@lru_cache(maxsize=100_000)
 def name_likeness(a: str, b: str) -> float:
     """0..1: the better of the likeness of the letters and the share of common words."""
     words = lambda s: {w.lower() for w in "".join("_" + c if c.isupper() else c for c in s).split("_") if w}
@@ -125,8 +142,13 @@ def match(weights: list[list[float]]) -> list[tuple[int, int]]:
     return [(i, j) for j, i in enumerate(owner) if i < n and j < m and weights[i][j] > 0]
 
 
-def _values(sketch: object) -> dict[int, tuple[int, float | None]]:
-    return {} if sketch is None else {e["r"]: (e["c"], e["num"]) for e in reversed(list(sketch))}
+def _values(column: tuple) -> dict[int, tuple[int, float | None]]:
+    """record -> (content, number) of a column's sketch; of several contents of a record the least."""
+    _, records, contents, numbers = column
+    if records is None:
+        return {}
+    rows = sorted(zip(records.tolist(), contents.tolist(), numbers.tolist()), reverse=True)
+    return {r: (c, None if n != n else n) for r, c, n in rows}
 
 
 def evidence(a: str, b: str, old: dict, new: dict) -> float:
@@ -153,22 +175,32 @@ def evidence(a: str, b: str, old: dict, new: dict) -> float:
 REPORT = "feed string, file_name string, drift_kind string, field_name string, new_name string"
 
 
-def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
-    old = {f: (t, _values(s)) for f, t, s in zip(*[pdf.loc[pdf["side"] == 0, c] for c in ("field", "type", "sketch")])}
-    new = {f: (t, _values(s)) for f, t, s in zip(*[pdf.loc[pdf["side"] == 1, c] for c in ("field", "type", "sketch")])}
+def _changes(old: dict[str, tuple], new: dict[str, tuple]) -> list[tuple[str, str, str]]:
+    """(kind, field, new name) of the changes between two files' columns; sketches are opened only where a field is
+    gone or new."""
     out: list[tuple[str, str, str]] = []
-    if old and new:
-        gone, come = sorted(old.keys() - new.keys()), sorted(new.keys() - old.keys())
-        pairs = match([[evidence(a, b, old[a][1], new[b][1]) for b in come] for a in gone]) if gone and come else []
+    gone, come = sorted(old.keys() - new.keys()), sorted(new.keys() - old.keys())
+    renamed: dict[str, str] = {}
+    if gone and come:
+        a_values, b_values = [_values(old[a]) for a in gone], [_values(new[b]) for b in come]
+        pairs = match([[evidence(a, b, x, y) for b, y in zip(come, b_values)] for a, x in zip(gone, a_values)])
         renamed = {gone[i]: come[j] for i, j in pairs}
-        out += [("renamed", a, b) for a, b in renamed.items()]
-        out += [("removed", a, a) for a in gone if a not in renamed]
-        out += [("added", b, b) for b in come if b not in renamed.values()]
-        for a, b in [*renamed.items(), *((f, f) for f in old.keys() & new.keys())]:
-            if old[a][0] and new[b][0] and old[a][0] != new[b][0]:
-                out.append(("retyped", b, b))
-    first = pdf.iloc[0]
-    return pd.DataFrame([(first["feed"], first["to_file"], *x) for x in out], columns=["feed", "file_name", "drift_kind", "field_name", "new_name"])
+    out += [("renamed", a, b) for a, b in renamed.items()]
+    out += [("removed", a, a) for a in gone if a not in renamed]
+    out += [("added", b, b) for b in come if b not in renamed.values()]
+    for a, b in [*renamed.items(), *((f, f) for f in old.keys() & new.keys())]:
+        if old[a][0] and new[b][0] and old[a][0] != new[b][0]:
+            out.append(("retyped", b, b))
+    return out
+
+
+def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The changes of all file pairs in one batch of pairs."""
+    pairs: dict[tuple[str, str], tuple[dict, dict]] = {}
+    for feed, file, side, field, *column in zip(*[pdf[c] for c in ("feed", "to_file", "side", "field", "type", "r", "c", "num")]):
+        pairs.setdefault((feed, file), ({}, {}))[side][field] = tuple(column)
+    rows = [(*pair, *x) for pair, (old, new) in pairs.items() if old and new for x in _changes(old, new)]
+    return pd.DataFrame(rows, columns=["feed", "file_name", "drift_kind", "field_name", "new_name"])
 
 
 def drift_report(raw: DataFrame, k: int = K) -> DataFrame:
@@ -178,8 +210,11 @@ def drift_report(raw: DataFrame, k: int = K) -> DataFrame:
     order = Window.partitionBy("feed").orderBy("written_at", "file_name")
     pairs = files.select("feed", F.col("file_name").alias("to_file"), F.lag("file_name").over(order).alias("from_file")).where("from_file is not null")
     sides = pairs.select("feed", "to_file", F.posexplode(F.array("from_file", "to_file")).alias("side", "file_name"))
-    grouped = sides.join(columns.select("feed", "file_name", "field", "type", "sketch"), ["feed", "file_name"])
-    return grouped.groupBy("feed", "to_file").applyInPandas(_compare, REPORT)
+    batches = max(1, -(-files.count() // PAIRS))
+    sketch = [F.col(f"sketch.{c}").alias(c) for c in ("r", "c", "num")]
+    both = sides.join(columns.select("feed", "file_name", "field", "type", *sketch), ["feed", "file_name"])
+    grouped = both.withColumn("batch", F.pmod(F.xxhash64("feed", "to_file"), F.lit(batches)))
+    return grouped.groupBy("batch").applyInPandas(_compare, REPORT)
 
 
 def _lineage(pdf: pd.DataFrame) -> pd.DataFrame:
