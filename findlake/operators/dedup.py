@@ -31,11 +31,31 @@ def best_rows(df: DataFrame, keys: list[str], order: list[Column], keep: list[st
 
 
 def merge_by_status(df: DataFrame, keys: list[str], status: str, run: str, row: str, refs: str) -> DataFrame:
-    """keys, status, run, row, refs: per key the most progressed row, of equals the latest; refs of all rows united."""
-    ranked = df.withColumn("_rank", lookup(F.col(status), STATUS_RANK, 0))
-    best = F.max(F.struct("_rank", F.col(run).alias("run"), F.col(row).alias("row"), F.col(status).alias("status"))).alias("m")
-    united = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce(F.col(refs), F.array().cast("array<string>")))))).alias("refs")
-    return ranked.groupBy(*keys).agg(best, united).select(*keys, F.col("m.status").alias(status), F.col("m.run").alias(run), F.col("m.row").alias(row), "refs")
+    """keys, status, run, row, refs: per key the most progressed row, of equals the latest; refs of all rows united.
+
+    References are made distinct per key before they are gathered, so a hot key gathers each of them once."""
+    best = F.max(F.struct(lookup(F.col(status), STATUS_RANK, 0).alias("_rank"), F.col(run).alias("run"), F.col(row).alias("row"), F.col(status).alias("status"))).alias("m")
+    winners = df.groupBy(*keys).agg(best).select(*keys, F.col("m.status").alias(status), F.col("m.run").alias(run), F.col("m.row").alias(row))
+    named = df.select(*keys, F.explode(refs).alias("_ref")).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("_ref")).alias("refs"))
+    same = [winners[k].eqNullSafe(named[k]) for k in keys]
+    joined = winners.join(named, same, "left")
+    return joined.select(*[winners[c] for c in winners.columns], F.coalesce(named["refs"], F.array().cast("array<string>")).alias("refs"))
+
+
+def numbered(df: DataFrame, keys: list[str], bucket: list[Column], order: list[Column], name: str) -> DataFrame:
+    """df with a running number per key in the order (bucket, order).
+
+    The window runs per key and bucket, and the rows of the buckets before are counted beforehand, so no task sorts all
+    rows of a hot key; `bucket` must never decrease along the order (nulls first)."""
+    cols = [f"_b{k}" for k in range(len(bucket))]
+    marked = df.withColumns(dict(zip(cols, bucket)))
+    sizes = marked.groupBy(*keys, *cols).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(*[F.asc_nulls_first(c) for c in cols]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*[F.col(c).alias(f"_o{c}") for c in [*keys, *cols]], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    own = F.row_number().over(Window.partitionBy(*keys, *cols).orderBy(*order))
+    met = marked.withColumn("_k", own)
+    joined = met.join(offsets, [F.col(c).eqNullSafe(F.col(f"_o{c}")) for c in [*keys, *cols]])
+    return joined.select(*df.columns, (F.col("_k") + F.col("_off")).alias(name))
 
 
 def keep_newest(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:

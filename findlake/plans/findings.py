@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findlake.functions.findings import SQL as F_SQL
@@ -41,7 +41,7 @@ SELECT path, function, line, kind, arg_max(status, {{'a': rank_no, 'b': run_id,
   arg_max(row_id, {{'a': rank_no, 'b': run_id, 'c': row_id}}) AS row_id, list_sort(list_distinct(flatten(list(refs)))) AS refs FROM r GROUP BY 1, 2, 3, 4""")
 def merge_findings(spark: SparkSession, d: str) -> DataFrame:
     """Findings of all runs merged by location and kind: most progressed status, then latest run; provenance united."""
-    return dedup.merge_by_status(findings(spark, d), KEY, "status", "run_id", "row_id", "refs").select(*KEY, F.coalesce("status", F.lit(None)).alias("status"), "run_id", "row_id", "refs")
+    return dedup.merge_by_status(findings(spark, d), KEY, "status", "run_id", "row_id", "refs")
 
 
 @query(""", k AS (SELECT coalesce(nullif(id, ''), nullif(finding_id, ''), path || ':' || function || ':' || kind) AS k, run_id, row_id, status FROM f)
@@ -82,13 +82,13 @@ def newest_per_bucket(spark: SparkSession, d: str) -> DataFrame:
 
 @query(""", r AS (SELECT tool, run_id, max(recorded_at) AS t, bool_or(status = 'not_disproven') AS live FROM f GROUP BY 1, 2),
   n AS (SELECT tool, run_id, row_number() OVER (PARTITION BY tool ORDER BY t DESC NULLS LAST, run_id DESC) AS rank_no FROM r WHERE NOT coalesce(live, false))
-SELECT tool, run_id, rank_no FROM n WHERE rank_no > greatest(3, 1)""")
+SELECT tool, run_id FROM n WHERE rank_no > greatest(3, 1)""")
 def removable_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs beyond the newest three of each tool; live runs are outside the quota, and the last run is never removed."""
     runs = findings(spark, d).groupBy("tool", "run_id").agg(F.max("recorded_at").alias("t"), F.bool_or(F.col("status") == "not_disproven").alias("live"))
-    order = Window.partitionBy("tool").orderBy(F.desc_nulls_last("t"), F.desc("run_id"))
-    ranked = runs.where(~F.coalesce("live", F.lit(False))).withColumn("rank_no", F.row_number().over(order))
-    return ranked.where(F.col("rank_no") > F.greatest(F.lit(3), F.lit(1))).select("tool", "run_id", "rank_no")
+    quota = runs.where(~F.coalesce("live", F.lit(False))).select("tool", "run_id", "t")
+    kept = dedup.keep_newest(quota, ["tool"], [F.desc_nulls_last("t"), F.desc("run_id")], max(3, 1))
+    return quota.select("tool", "run_id").join(kept.select("tool", "run_id"), ["tool", "run_id"], "left_anti")
 
 
 @query(" SELECT finding_id, min(row_id) AS row_id FROM f WHERE finding_id IS NOT NULL GROUP BY 1")

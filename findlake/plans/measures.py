@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findlake.functions.findings import SQL as F_SQL
@@ -371,8 +371,9 @@ def scorecard_audit(spark: SparkSession, d: str) -> DataFrame:
 @query(""" SELECT finding_id AS item, row_id, model, row_number() OVER (PARTITION BY finding_id ORDER BY recorded_at NULLS FIRST, row_id) AS ordinal FROM f WHERE finding_id IS NOT NULL AND model IS NOT NULL""")
 def panel_order(spark: SparkSession, d: str) -> DataFrame:
     """Reports of a finding in the order in which they came."""
-    order = Window.partitionBy("finding_id").orderBy(F.asc_nulls_first("recorded_at"), "row_id")
-    return findings(spark, d).where("finding_id is not null and model is not null").select(F.col("finding_id").alias("item"), "row_id", "model", F.row_number().over(order).alias("ordinal"))
+    rows = findings(spark, d).where("finding_id is not null and model is not null").select(F.col("finding_id").alias("item"), "row_id", "model", "recorded_at")
+    order = [F.asc_nulls_first("recorded_at"), F.asc("row_id")]
+    return dedup.numbered(rows, ["item"], [F.to_date("recorded_at")], order, "ordinal").drop("recorded_at")
 
 
 @query("""SELECT event_type AS call_class, count(*) AS n_calls, count(*) FILTER (value >= 5) AS n_completed, round(sum(value), 4) AS cost, round(sum(value) FILTER (value >= 5) / nullif(count(*) FILTER (value >= 5), 0), 6) AS mean_cost FROM events GROUP BY 1""", False)

@@ -53,12 +53,15 @@ def text_hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@query("SELECT source, sha256(array_to_string(list_sort(list(sha256(text))), '')) AS digest FROM documents WHERE text IS NOT NULL GROUP BY 1")
+@query("""WITH h AS (SELECT source, sha256(text) AS h FROM documents WHERE text IS NOT NULL), b AS (SELECT source, substr(h, 1, 4) AS p, sha256(array_to_string(list_sort(list(h)), '')) AS h FROM h GROUP BY 1, 2)
+SELECT source, sha256(array_to_string(list(h ORDER BY p), '')) AS digest FROM b GROUP BY 1""")
 def tree_hashes(spark: SparkSession, d: str) -> DataFrame:
-    """One hash per source over the sorted hashes of its texts: per-day hashes are reduced first, so no task holds more
-    than the digests of one source (64 bytes each)."""
+    """One hash per source as a tree: text hashes are hashed per prefix of four digits, and these (at most 65,536 per
+    source) per source, so no task gathers all hashes of a source."""
     rows = table(spark, d, "documents").where("text is not null").select("source", F.sha2("text", 256).alias("h"))
-    return rows.groupBy("source").agg(text.tree_hash(F.collect_list("h")).alias("digest"))
+    leaves = rows.groupBy("source", F.substring("h", 1, 4).alias("p")).agg(text.tree_hash(F.collect_list("h")).alias("h"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"])
+    return leaves.groupBy("source").agg(F.sha2(F.array_join(ordered, ""), 256).alias("digest"))
 
 
 @query("SELECT doc_id, substr(sha256(array_to_string(list_slice(string_split(text, chr(10)), 1, 3), chr(10))), 1, 12) AS digest, array_to_string(list_slice(string_split(text, chr(10)), 2, 2), chr(10)) AS second_line FROM documents WHERE text IS NOT NULL")

@@ -277,21 +277,28 @@ def patch_files(spark: SparkSession, d: str) -> DataFrame:
 def ranked_crashes(spark: SparkSession, d: str) -> DataFrame:
     """Findings of each repository in order of their class, unknown classes last."""
     rank = dedup.lookup(F.col("kind"), {"use_after_free": 0, "buffer_overflow": 1, "integer_overflow": 2, "null_dereference": 3}, 99)
-    return findings(spark, d).select("row_id", F.row_number().over(Window.partitionBy("repo_url").orderBy(rank, "row_id")).alias("place"))
+    rows = findings(spark, d).select("repo_url", "row_id", rank.alias("rank"))
+    return dedup.numbered(rows, ["repo_url"], [F.col("rank"), F.floor(F.col("row_id") / 100_000)], [F.col("row_id")], "place").select("row_id", "place")
 
 
 @query("""WITH s AS (SELECT doc_id, source, n_chars // 4 AS tokens, (doc_id % 4)::int AS priority FROM documents), t AS (SELECT *, sum(tokens) OVER (PARTITION BY source) - 20000 AS overshoot,
   coalesce(sum(CASE WHEN priority > 0 THEN tokens ELSE 0 END) OVER (PARTITION BY source ORDER BY priority DESC, tokens DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shed FROM s)
 SELECT source, count(*) FILTER (NOT (priority > 0 AND shed < overshoot)) AS n_kept, coalesce(sum(tokens) FILTER (NOT (priority > 0 AND shed < overshoot)), 0)::bigint AS tokens_kept FROM t GROUP BY 1""")
 def budgeted(spark: SparkSession, d: str) -> DataFrame:
-    """Sections kept within 20,000 tokens per source: shed by lowest importance, then size, until it fits; priority 0 stays."""
-    s = table(spark, d, "documents").select("doc_id", "source", F.floor(F.col("n_chars") / 4).alias("tokens"), (F.col("doc_id") % 4).cast("int").alias("priority"))
-    order = Window.partitionBy("source").orderBy(F.desc("priority"), F.desc("tokens"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    weight = F.when(F.col("priority") > 0, F.col("tokens")).otherwise(0)
-    over = F.sum("tokens").over(Window.partitionBy("source")) - 20_000
-    t = s.withColumns({"shed": F.coalesce(F.sum(weight).over(order), F.lit(0)), "over": over})
-    kept = ~((F.col("priority") > 0) & (F.col("shed") < F.col("over")))
-    return t.groupBy("source").agg(F.count_if(kept).alias("n_kept"), F.coalesce(F.sum(F.when(kept, F.col("tokens"))), F.lit(0)).alias("tokens_kept"))
+    """Sections kept within 20,000 tokens per source: shed by lowest importance, then size, until it fits; priority 0 stays.
+
+    Sections of one importance and size are interchangeable, so the running sum is over their counts, not over rows."""
+    size = F.floor(F.col("n_chars") / 4).alias("t")
+    s = table(spark, d, "documents").select("source", size, (F.col("doc_id") % 4).cast("int").alias("priority"))
+    g = s.groupBy("source", "priority", "t").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("source").orderBy(F.desc("priority"), F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.when(F.col("priority") > 0, F.col("t") * F.col("n")).otherwise(0)
+    over = F.sum(F.col("t") * F.col("n")).over(Window.partitionBy("source")) - 20_000
+    w = g.withColumns({"before": F.coalesce(F.sum(weight).over(order), F.lit(0)), "over": over})
+    need = F.greatest(F.col("over") - F.col("before"), F.lit(0))
+    gone = F.when(F.col("priority") == 0, 0).when(need == 0, 0).when(F.col("t") == 0, F.col("n")).otherwise(F.least(F.col("n"), F.ceil(F.try_divide(need, F.col("t")))))
+    left = F.col("n") - gone
+    return w.groupBy("source").agg(F.sum(left).alias("n_kept"), F.sum(left * F.col("t")).alias("tokens_kept"))
 
 
 @query("""WITH c(model, cost, capacity) AS (VALUES ('small', 1.0, 200), ('middle', 3.0, 2000), ('large', 9.0, 100000)) SELECT doc_id, arg_min(model, cost) AS model FROM documents JOIN c ON n_chars // 4 <= capacity * 0.9 GROUP BY 1""")
