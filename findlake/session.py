@@ -72,6 +72,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back, so a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/findlake-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jvm = df.sparkSession._jvm  # the folder is cleaned up when the application ends
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(file)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -82,6 +85,19 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def validate_query(spark: SparkSession, sql: str) -> str:
+    """The query, if it is one statement that only reads; ValueError otherwise. Only the parser runs."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception as e:
+        raise ValueError("not a single readable statement") from e
+    kinds = {type_name.split("(")[0].strip() for type_name in plan.toString().replace("+-", " ").replace(":-", " ").splitlines()}
+    if plan.getClass().getName().rsplit(".", 1)[-1] in ("Project", "UnresolvedWith", "Aggregate", "Filter", "Sort", "GlobalLimit", "Union", "Distinct", "Except", "Intersect", "UnresolvedHaving", "Limit", "LocalLimit", "WithCTE", "UnresolvedInlineTable"):
+        if not any(k.startswith(("'Insert", "Insert", "Create", "'Create", "Drop", "'Drop", "Set")) for k in kinds):
+            return sql
+    raise ValueError("only SELECT and WITH are allowed")
+
+
 def alnum(col: Column) -> Column:
     """Lower case, letters and digits only (any script): what is left when case, blanks and punctuation don't matter."""
     return F.regexp_replace(F.lower(col), r"[^\p{L}\p{N}]+", "")
