@@ -114,3 +114,40 @@ def snapshots(events: DataFrame, refs: DataFrame) -> DataFrame:
         F.sum("delta").alias("net"), F.sum(F.greatest("delta", F.lit(0))).alias("opened"), F.sum(F.greatest(-F.col("delta"), F.lit(0))).alias("resolved")
     )
     return months.select("month", F.sum("net").over(Window.orderBy("month")).alias("open_orphans"), "opened", "resolved")
+
+
+STATE = "key string, alive long, arrived timestamp_ntz, n_refs long"
+
+
+def advance(state: DataFrame, events: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new state, found) after one batch of the log, in which nothing is older than in the batches before.
+
+    state(STATE): parents alive, earliest arrival and references so far, per key. found(row, key, at, had): references
+    that find no parent alive, and whether one had arrived. A key that the batch doesn't touch keeps its state."""
+    log = events.select("key", "at", "kind", "n", F.lit(None).cast("long").alias("row")).unionByName(
+        refs.select("key", "at", F.lit(2).alias("kind"), F.lit(0).alias("n"), "row")
+    )
+    arrival = F.when(F.col("kind") == 0, F.col("at"))
+    order = Window.partitionBy("key").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    own = log.withColumns({"_alive": F.sum("n").over(order), "_arrived": F.min(arrival).over(order)})
+    met = own.where("kind = 2").join(state.select("key", "alive", "arrived"), "key", "left")
+    alive = F.col("_alive") + F.coalesce("alive", F.lit(0))
+    found = met.where(alive <= 0).select("row", "key", "at", (F.col("_arrived").isNotNull() | F.col("arrived").isNotNull()).alias("had"))
+    batch = log.groupBy("key").agg(F.sum("n").alias("_n"), F.min(arrival).alias("_first"), F.count_if(F.col("kind") == 2).alias("_refs"))
+    zero = F.lit(0).cast("long")
+    new = state.join(batch, "key", "full").select(
+        "key", (F.coalesce("alive", zero) + F.coalesce("_n", zero)).alias("alive"), F.least("arrived", "_first").alias("arrived"),
+        (F.coalesce("n_refs", zero) + F.coalesce("_refs", zero)).alias("n_refs"),
+    )
+    return new, found
+
+
+def settle(found: DataFrame, state: DataFrame) -> DataFrame:
+    """row, at, orphan_kind of found orphans by what has become known since: late, if a parent has arrived meanwhile."""
+    kind = F.when(F.col("had"), "deleted").when(F.col("arrived").isNotNull(), "late").otherwise("missing")
+    return found.join(state.select("key", "arrived"), "key", "left").select("row", "at", kind.alias("orphan_kind"))
+
+
+def open_count(state: DataFrame) -> DataFrame:
+    """open_orphans: references whose key has no parent alive now; arrivals have resolved, deletions reopened them."""
+    return state.agg(F.coalesce(F.sum(F.when(F.col("alive") <= 0, F.col("n_refs"))), F.lit(0)).alias("open_orphans"))

@@ -173,3 +173,28 @@ def test_hash_keys(spark):
     df = spark.createDataFrame([(f,) for f in forms], "h string")
     got = [r.k for r in df.select(orphans.hash_key(F.col("h")).alias("k")).collect()]
     assert got == ["abcdef123456"] * 4 + [None] * 3
+
+
+def test_orphans_by_batches_equal_the_whole(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from findlake.streaming import references
+
+    rnd = random.Random(9)
+    keys = ["A", "B", "C", "D"]
+    parents = [(rnd.choice(keys[:3]), day(rnd.randint(0, 20)), rnd.choice([None, day(rnd.randint(0, 25))])) for _ in range(40)]
+    refs = [(k, rnd.choice(keys), day(rnd.randint(0, 25))) for k in range(80)]
+    p = spark.createDataFrame(parents, "key string, came timestamp_ntz, gone timestamp_ntz")
+    events = orphans.parent_events(p, F.col("key"), F.col("came"), F.col("gone"))
+    probes = spark.createDataFrame(refs, "row long, key string, at timestamp_ntz")
+    log = events.select("key", "at", "kind", "n", F.lit(None).cast("long").alias("row")).unionByName(probes.select("key", "at", F.lit(2).alias("kind"), F.lit(0).alias("n"), "row"))
+    for k, (lo, hi) in enumerate(((0, 8), (8, 16), (16, 99))):
+        part = log.where((F.col("at") >= F.lit(day(lo)).cast("timestamp_ntz")) & (F.col("at") < F.lit(day(hi)).cast("timestamp_ntz")))
+        part.coalesce(1).write.parquet(str(tmp_path / "log" / f"{k}"))
+    stream = spark.readStream.schema(references.LOG).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log" / "*"))
+    # files come in the order of their times; write times rise with k
+    q = references.follow(stream, str(tmp_path / "out"), str(tmp_path / "check"))
+    q.awaitTermination()
+    settled, still_open = references.report(spark, str(tmp_path / "out"), 2)
+    assert rows_of(settled) == rows_of(orphans.orphans(events, probes)) and settled.count()
+    assert still_open.first()[0] == orphans.snapshots(events, probes).orderBy(F.desc("month")).first().open_orphans
