@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 HOT = 200_000
 #: Most hot keys; with more events the threshold rises so that the broadcast stays within this.
 MAX_HOT = 10_000
+#: Fixed value: the digits that a shortened hash has at least.
+WIDTH = 12
 
 
 def hash_key(col: Column) -> Column:
@@ -63,6 +65,13 @@ def short_parent_events(events: DataFrame, keys: DataFrame, width: int) -> DataF
     return long.join(begin, "_b").where(F.col("key").startswith(F.col("short")) & (F.col("key") != F.col("short"))).select(F.col("short").alias("key"), "at", "kind", "n")
 
 
+def resolved(keys: DataFrame, known: DataFrame, width: int = WIDTH) -> DataFrame:
+    """key, whole: each key with the known keys that it is or, having at least `width` characters, begins; others give no row."""
+    begin = keys.select("key", F.substring("key", 1, width).alias("_b")).where(F.length("key") >= width).distinct()
+    long = known.select(F.col("key").alias("whole"), F.substring("key", 1, width).alias("_b")).distinct()
+    return begin.join(long, "_b").where(F.col("whole").startswith(F.col("key"))).select("key", "whole")
+
+
 def _log(events: DataFrame, refs: DataFrame, hot: int) -> tuple[DataFrame, bool]:
     """The event log with the chunk of each event (0, or the day for hot keys); whether any key is hot."""
     log = events.select("key", "at", "kind", "n", F.lit(None).cast("long").alias("row")).unionByName(

@@ -30,11 +30,20 @@ def query(sql: str | None = None, with_findings: bool = False):  # noqa: ANN201
     return add
 
 
+def known_commits(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "commits").select(F.lower("hash").alias("key"))
+
+
 def parent_edges(spark: SparkSession, d: str) -> DataFrame:
-    """src, dst: commit and parent, where the parent's whole hash is given."""
+    """src, dst: commit and parent. A shortened parent is the commit, or the whole hash given elsewhere, that it begins;
+    one that begins none stays as it is. The SQL of the queries on these edges has whole hashes only."""
     values = packed.unpack(table(spark, d, "commits"), "hash", "parents")
-    dst = F.regexp_extract(F.lower("value"), r"(?:^|:)([0-9a-f]{40})$", 1)
-    return values.select(F.col("hash").alias("src"), dst.alias("dst")).where("dst <> ''").distinct()
+    key = F.regexp_extract(F.lower("value"), rf"(?:^|:)([0-9a-f]{{{orphans.WIDTH},40}})$", 1)
+    named = values.select(F.col("hash").alias("src"), key.alias("key")).where("key <> ''").distinct()
+    whole, short = named.where("length(key) = 40"), named.where("length(key) < 40")
+    found = orphans.resolved(short.select("key"), known_commits(spark, d).unionByName(whole.select("key")))
+    dst = F.coalesce("whole", "key").alias("dst")
+    return whole.select("src", F.col("key").alias("dst")).unionByName(short.join(found, "key", "left").select("src", dst)).distinct()
 
 
 _E = r"e AS (SELECT DISTINCT hash AS src, unnest(regexp_extract_all(lower(parents), '(?:^|[^0-9a-f])([0-9a-f]{40})(?:$|[^0-9a-f])', 1)) AS dst FROM (SELECT hash, regexp_replace(parents, '([^0-9A-Za-z])', '\1\1', 'g') AS parents FROM commits))"
