@@ -254,9 +254,12 @@ def inconsistent_packages(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH x AS (SELECT DISTINCT hash FROM fixes), c AS (SELECT DISTINCT hash, repo_url FROM commits) SELECT repo_url, count(*) FILTER (x.hash IS NOT NULL) AS verified, count(*) FILTER (x.hash IS NULL) AS unattempted FROM c LEFT JOIN x USING (hash) GROUP BY 1""", False)
 def environment_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Commits per repository that a fix has verified, and the rest."""
-    x = table(spark, d, "fixes").select("hash").where("hash is not null").distinct().withColumn("v", F.lit(True))
-    return table(spark, d, "commits").select("hash", "repo_url").distinct().join(x, "hash", "left").groupBy("repo_url").agg(F.count("v").alias("verified"), F.count_if(F.col("v").isNull()).alias("unattempted"))
+    """Commits per repository that a fix has verified, and the rest. Fixes are read in any spelling and length of their
+    hash; the SQL takes them as written."""
+    c = table(spark, d, "commits").select("hash", "repo_url").distinct()
+    fixed = orphans.resolved(table(spark, d, "fixes").select(orphans.hash_key(F.col("hash")).alias("key")), c.select(F.col("hash").alias("key")))
+    x = fixed.select(F.col("whole").alias("hash")).distinct().withColumn("v", F.lit(True))
+    return c.join(x, "hash", "left").groupBy("repo_url").agg(F.count("v").alias("verified"), F.count_if(F.col("v").isNull()).alias("unattempted"))
 
 
 @query(r"""WITH h AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), 'https?://([a-z0-9.-]+)', 1)) AS host FROM documents WHERE text IS NOT NULL) SELECT host, count(DISTINCT doc_id) AS n FROM h GROUP BY 1""", False)

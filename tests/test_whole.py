@@ -4,7 +4,7 @@ from datetime import datetime
 
 import pytest
 
-from findlake.plans import structure
+from findlake.plans import enrichment, structure
 
 A, B, C, D, X = (c * 40 for c in "abcdf")
 T = datetime(2024, 1, 1)
@@ -38,3 +38,9 @@ def test_shortened_parents(spark, tables):
     assert rows_of(structure.open_edges(spark, d)) == sorted([(A, B), (A, C)])
     assert (X, 2, 0) in rows_of(structure.caller_context(spark, d))
     assert (B, 1) in rows_of(structure.sibling_counts(spark, d))
+
+
+def test_verified_commits(spark, tables):
+    fixes = [(A,), (f"https://git.example.org/x/commit/{B.upper()}",), (f" {C[:12]}",), (D[:11],), (None,), (X,)]
+    d = tables(commits=([(A, "r", None, None), (B, "r", None, None), (C, "s", None, None), (D, "s", None, None)], COMMITS), fixes=(fixes, "hash string"))
+    assert rows_of(enrichment.environment_summary(spark, d)) == [("r", 2, 0), ("s", 1, 1)]
