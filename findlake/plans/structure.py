@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from findlake.functions.findings import SQL as F_SQL
+from findlake.functions.findings import cwe_name
 from findlake.operators import dedup, graph, intervals, orphans, packed
 from findlake.plans.findings import findings
 from findlake.plans.measures import NO, YES, verdict
@@ -73,11 +74,13 @@ def unreached_commits(spark: SparkSession, d: str) -> DataFrame:
   ct AS (SELECT src AS node FROM e JOIN t ON e.dst = t.node UNION SELECT src FROM e JOIN ct ON e.dst = ct.node), cf AS (SELECT node FROM f UNION SELECT src FROM e JOIN cf ON e.dst = cf.node)
 SELECT node FROM ct WHERE node NOT IN (SELECT node FROM cf) AND node NOT IN (SELECT node FROM t)""")
 def bypassing_commits(spark: SparkSession, d: str) -> DataFrame:
-    """Descendants of deleted commits that do not descend from a withdrawn fix."""
+    """Descendants of deleted commits that do not descend from a withdrawn fix (in the SQL: from one with a whole hash)."""
     target = table(spark, d, "commits").where("deleted_at is not null").select(F.col("hash").alias("node")).distinct()
-    whole = F.regexp_extract(F.lower("hash"), "([0-9a-f]{40})", 1)
-    enforcer = table(spark, d, "fixes").where("withdrawn_at is not null").select(whole.alias("node")).where("node <> ''").distinct()
-    return graph.bypasses(parent_edges(spark, d), target, enforcer)
+    edges = parent_edges(spark, d)
+    fixes = table(spark, d, "fixes").where("withdrawn_at is not null").select(orphans.hash_key(F.col("hash")).alias("key")).where("key is not null").distinct()
+    found = orphans.resolved(fixes, known_commits(spark, d).unionByName(edges.select(F.col("dst").alias("key"))))
+    enforcer = fixes.join(found, "key", "left").select(F.coalesce("whole", "key").alias("node")).distinct()
+    return graph.bypasses(edges, target, enforcer)
 
 
 @query(None)
@@ -154,11 +157,15 @@ def _flow(spark: SparkSession, d: str) -> DataFrame:
 SELECT DISTINCT x.k AS cve, x.h AS hash, w.cwe_id, r.repo_language FROM x JOIN c ON x.h = c.hash JOIN w USING (k) JOIN repository r ON c.repo_url = r.repo_url WHERE r.repo_language IN ('C', 'Java', 'Python') AND k <> ''""")
 def fix_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Fixes with their commit, weakness and language: keys are made distinct before the joins, so a CVE with many
-    repeated rows doesn't multiply."""
+    repeated rows doesn't multiply. Shortened hashes are the commits they begin, weaknesses are read in any spelling;
+    the SQL takes both in full only."""
     x = table(spark, d, "fixes").select(orphans.cve_key(F.col("cve_id")).alias("cve"), orphans.hash_key(F.col("hash")).alias("hash")).distinct()
     c = table(spark, d, "commits").select("hash", "repo_url").distinct()
-    w = table(spark, d, "cwe_classification").where(F.col("cwe_id").isin("CWE-78", "CWE-79", "CWE-89")).select(orphans.cve_key(F.col("cve_id")).alias("cve"), "cwe_id").distinct()
+    named = table(spark, d, "cwe_classification").select(orphans.cve_key(F.col("cve_id")).alias("cve"), cwe_name(F.col("cwe_id")).alias("cwe_id"))
+    w = named.where(F.col("cwe_id").isin("CWE-78", "CWE-79", "CWE-89")).distinct()
     r = table(spark, d, "repository").where(F.col("repo_language").isin("C", "Java", "Python"))
+    found = orphans.resolved(x.select(F.col("hash").alias("key")), c.select(F.col("hash").alias("key")))
+    x = x.join(found, x.hash == found.key).select("cve", F.col("whole").alias("hash"))
     return x.join(w, "cve").join(c, "hash").join(r, "repo_url").select("cve", "hash", "cwe_id", "repo_language").distinct()
 
 

@@ -44,3 +44,20 @@ def test_verified_commits(spark, tables):
     fixes = [(A,), (f"https://git.example.org/x/commit/{B.upper()}",), (f" {C[:12]}",), (D[:11],), (None,), (X,)]
     d = tables(commits=([(A, "r", None, None), (B, "r", None, None), (C, "s", None, None), (D, "s", None, None)], COMMITS), fixes=(fixes, "hash string"))
     assert rows_of(enrichment.environment_summary(spark, d)) == [("r", 2, 0), ("s", 1, 1)]
+
+
+FIXES = "cve_id string, hash string, withdrawn_at timestamp_ntz"
+
+
+def test_fix_pairs_spellings(spark, tables):
+    d = tables(
+        commits=([(A, "r", None, None), (B, "r", None, None)], COMMITS), fixes=([("CVE-2024-0001", A[:12], None), ("cve 2024 0002", B, None)], FIXES),
+        cwe_classification=([("CVE-2024-0001", "cwe89"), ("CVE-2024-0002", "[CWE-78]"), ("CVE-2024-0002", "CWE-789")], "cve_id string, cwe_id string"), repository=([("r", "C")], "repo_url string, repo_language string"),
+    )
+    assert rows_of(structure.fix_pairs(spark, d)) == [("CVE20240001", A, "CWE-89", "C"), ("CVE20240002", B, "CWE-78", "C")]
+
+
+def test_shortened_enforcer(spark, tables):
+    # A is deleted; B and C descend from it, B also from the withdrawn fix D, given by 12 digits
+    d = tables(commits=([(A, "r", None, T), (B, "r", f"{A}, {D}", None), (C, "r", A, None), (D, "r", None, None)], COMMITS), fixes=([("CVE-2024-0001", D[:12], T)], FIXES))
+    assert rows_of(structure.bypassing_commits(spark, d)) == [(C,)]
