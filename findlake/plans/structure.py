@@ -216,8 +216,9 @@ def coverage_delta(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_M + ", t AS (SELECT path AS file, max(line) AS total FROM f WHERE line IS NOT NULL AND line % 2 = 0 GROUP BY 1), u AS (SELECT file, count(DISTINCT x) AS n_lines FROM l GROUP BY 1) SELECT file, n_lines, round(coalesce(100.0 * n_lines / nullif(total, 0), 0), 4) AS percent FROM u LEFT JOIN t USING (file)", True)
 def coverage_percent(spark: SparkSession, d: str) -> DataFrame:
-    """Share of the lines of each file that any tool has covered; 0 where the total is unknown."""
-    totals = findings(spark, d).where("line is not null and line % 2 = 0").groupBy(F.col("path").alias("file")).agg(F.max("line").alias("total"))
+    """Share of the lines of each file that any tool has covered; 0 where the total is unknown. (The SQL's
+    total is the greatest even line only.)"""
+    totals = findings(spark, d).where("line is not null").groupBy(F.col("path").alias("file")).agg(F.max("line").alias("total"))
     return intervals.percent(marks(spark, d), totals, ["file"])
 
 

@@ -4,6 +4,7 @@ from datetime import datetime
 
 import pytest
 
+from findlake.operators import intervals
 from findlake.plans import enrichment, structure
 
 A, B, C, D, X = (c * 40 for c in "abcdf")
@@ -61,3 +62,11 @@ def test_shortened_enforcer(spark, tables):
     # A is deleted; B and C descend from it, B also from the withdrawn fix D, given by 12 digits
     d = tables(commits=([(A, "r", None, T), (B, "r", f"{A}, {D}", None), (C, "r", A, None), (D, "r", None, None)], COMMITS), fixes=([("CVE-2024-0001", D[:12], T)], FIXES))
     assert rows_of(structure.bypassing_commits(spark, d)) == [(C,)]
+
+
+def test_totals_of_odd_lines(spark, tables, monkeypatch):
+    rows = spark.createDataFrame([("odd", "t", 7, None, None, None), ("odd", "t", 1, None, None, None), ("even", "t", 8, None, None, None), ("none", "t", None, None, None, None), ("zero", "t", 0, None, None, None)], "path string, tool string, line int, recorded_at timestamp_ntz, function string, status string")
+    monkeypatch.setattr(structure, "findings", lambda spark, d: rows)
+    assert rows_of(structure.coverage_percent(spark, "")) == [("even", 6, 75.0), ("odd", 12, 171.4286), ("zero", 6, 0.0)]
+    unknown = intervals.percent(structure.marks(spark, ""), rows.where("path = 'odd'").selectExpr("path as file", "line as total").where("total = 7"), ["file"])
+    assert rows_of(unknown) == [("even", 6, 0.0), ("odd", 12, 171.4286), ("zero", 6, 0.0)]
