@@ -114,9 +114,10 @@ def wheel_tags(filename: Column) -> Column:
 
 
 def numeric_version(text: Column) -> Column:
-    """array<int> of the first dotted number in a text; null if there is none. Arrays order part by part."""
+    """array<decimal(38)> of the first dotted number in a text; null if there is none. Arrays order part by part; a part
+    of more than 38 digits is null."""
     found = F.regexp_extract(text, r"(\d+(?:\.\d+)*)", 1)
-    return F.when(found != "", F.transform(F.split(found, r"\."), lambda x: x.try_cast("int")))
+    return F.when(found != "", F.transform(F.split(found, r"\."), lambda x: x.try_cast("decimal(38,0)")))
 
 
 def display_rule(rule: Column) -> Column:

@@ -139,8 +139,9 @@ def wheel_tags(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""WITH v AS (SELECT doc_id, regexp_extract(text, '(\d+(?:\.\d+)*)', 1) AS v FROM documents WHERE text IS NOT NULL AND length(text) < 2000 AND NOT regexp_matches(text, '\d{10,}')) SELECT doc_id, list_transform(string_split(v, '.'), lambda x: x::int) AS version FROM v WHERE v <> ''""")
 def first_versions(spark: SparkSession, d: str) -> DataFrame:
-    """The first dotted number of each text as comparable integers (texts with a number too long for one are left out)."""
-    docs = table(spark, d, "documents").where(F.col("text").isNotNull() & (F.length("text") < 2000) & ~F.col("text").rlike(r"\d{10,}"))
+    """The first dotted number of each text as comparable integers. (The SQL leaves out texts of 2,000 characters or more
+    and texts with a run of ten digits.)"""
+    docs = table(spark, d, "documents").where("text is not null")
     return docs.select("doc_id", text.numeric_version(F.col("text")).alias("version")).where("version is not null")
 
 

@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 
 from findlake.operators import intervals
-from findlake.plans import enrichment, structure
+from findlake.plans import enrichment, scalars, structure
 
 A, B, C, D, X = (c * 40 for c in "abcdf")
 T = datetime(2024, 1, 1)
@@ -70,3 +70,9 @@ def test_totals_of_odd_lines(spark, tables, monkeypatch):
     assert rows_of(structure.coverage_percent(spark, "")) == [("even", 6, 75.0), ("odd", 12, 171.4286), ("zero", 6, 0.0)]
     unknown = intervals.percent(structure.marks(spark, ""), rows.where("path = 'odd'").selectExpr("path as file", "line as total").where("total = 7"), ["file"])
     assert rows_of(unknown) == [("even", 6, 0.0), ("odd", 12, 171.4286), ("zero", 6, 0.0)]
+
+
+def test_first_versions_of_all_texts(spark, tables):
+    texts = [(1, "x" * 3000 + " 1.2"), (2, "v3.4 of 12345678901"), (3, "12345678901.5"), (4, "none"), (5, None), (6, "2147483647")]
+    got = scalars.first_versions(spark, tables(documents=(texts, "doc_id bigint, text string")))
+    assert {r.doc_id: r.version for r in got.collect()} == {1: [1, 2], 2: [3, 4], 3: [12345678901, 5], 6: [2147483647]}
