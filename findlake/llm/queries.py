@@ -53,6 +53,11 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation.report(table(spark, d, "documents"))
 
 
+def p9_parts(spark: SparkSession, d: str) -> DataFrame:
+    """How many texts each part of the method decides: nothing in them, a mark, a near-copy or the closing words."""
+    return truncation.parts(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_survivors": p1_survivors,
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_report": p9_report,
+    "p9_parts": p9_parts,
 }
 
 #: Letters and digits only, in lower case.

@@ -1,6 +1,7 @@
 """The llm operators against brute force, on small fixtures with nulls, ties, repeats and odd texts."""
 
 import datetime as dt
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -280,12 +281,85 @@ def test_truncated_of_nothing(spark):
     assert rows_of(truncation.truncated(spark.createDataFrame([], "doc_id long, text string, source string"))) == []
 
 
-def test_near_copies_are_aligned():
-    lead = "The reviewer disagrees with the model because the role check already blocks anonymous callers on each of the tested machines. "
-    whole = lead + "Static analysis marks many further call sites although most of them only pass constants to parse_header_fields and nothing else happens there."
-    at = whole.index("_fields")
-    assert truncation.ends_early(whole[: at - 2], whole[: at + 7] + " at all") and not truncation.ends_early(whole, whole + " More text follows here.")
-    assert not truncation.ends_early("Quite another text that has nothing in common with the copy it is held agai", whole)
+LEAD = "The reviewer disagrees with the model because the role check already blocks anonymous callers on each of the tested machines. "
+WHOLE = LEAD + "Static analysis marks many further call sites although most of them only pass constants to parse_header_fields and nothing else happens there."
+
+
+def brute_ends(texts):
+    """doc_id: early, by all pairs: whether any copy (similarity 0.8 or more) has a stop where the text ends, else goes on."""
+    read = {}
+    for doc, text in texts:
+        core, cut, end = truncation.closing(truncation.plain(text))
+        toks = truncation._found(core)
+        words = [(k, t.lower()) for k, t in enumerate(toks) if re.search(r"[^\W]", t)]
+        runs = {tuple(w for _, w in words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+        read[doc] = (toks, words, runs, end, cut)
+    out = {}
+    for a, (_, mine, runs, end, cut) in read.items():
+        if end == "stop" or cut or len(mine) < 6:
+            continue
+        tail, last = [w for _, w in mine[-6:-1]], mine[-1][1]
+        says = set()
+        for b, (toks, words, other, _, _) in read.items():
+            if a == b or len(runs & other) < 0.8 * len(runs | other):
+                continue
+            for k in range(5, len(words)):
+                word = words[k][1]
+                if [w for _, w in words[k - 5 : k]] == tail and word.startswith(last):
+                    rest = [t for t in toks[words[k][0] + 1 :] if t not in truncation._CLOSERS]
+                    nxt = rest[0] if rest else "\n"
+                    if word != last:
+                        says.add(True)
+                    elif nxt in truncation._STOP:
+                        says.add(False)
+                    elif nxt[0] not in "\r\n…" and nxt != "...":
+                        says.add(True)
+        if says:
+            out[a] = min(says)
+    return out
+
+
+def ends_by_bands(spark, texts, **kw):
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    read = truncation.read_texts(df.withColumn("source", F.lit("s")), frozenset()).where("doc_id is not null")
+    rows = read.select("doc_id", "bands", ((F.col("flag") == "") & (F.col("end") != "stop")).alias("open"))
+    return {r.doc_id: r.early for r in truncation.aligned(df, rows, **kw).collect()}
+
+
+@pytest.mark.parametrize("chunk", [truncation.CHUNK, 1])
+def test_near_copies_are_aligned(spark, chunk):
+    at = WHOLE.index("_fields")
+    texts = [WHOLE, WHOLE[: at - 2], WHOLE[: at + 7], WHOLE + " More text follows here.", WHOLE[:-1], "Quite another text that has nothing in common with the copies it is held agai", "short", ""]
+    texts += [f"Note {k}: " + WHOLE.replace("marks", f"marks{k}") for k in range(4)]  # farther copies in the same buckets
+    texts = list(enumerate(texts))
+    want = brute_ends(texts)
+    assert {k: v for k, v in want.items() if k < 4} == {1: True, 2: True} and want[4] is False
+    assert ends_by_bands(spark, texts, chunk=chunk) == want
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test data")
+def test_recall_of_alignment(spark):
+    """Near-copies of real texts: of those whose end brute force decides by a copy, at least 0.9 are decided, all alike."""
+    rnd = random.Random(11)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) between 300 and 1500 and doc_id % 5 = 0").collect()]
+    texts = list(docs)
+    for k, (_, text) in enumerate(docs):
+        words = text.split(" ")
+        words[len(words) // 3] = f"other{k}"  # a copy with another word, cut somewhere in its last fifth
+        copy = " ".join(words)
+        texts.append((10**6 + k, copy[: rnd.randint(int(len(copy) * 0.82), len(copy))]))
+    texts = [next(g) for _, g in itertools.groupby(sorted(texts, key=lambda x: truncation.closing(truncation.plain(x[1]))[0]), key=lambda x: truncation.closing(truncation.plain(x[1]))[0])]
+    want, got = brute_ends(texts), ends_by_bands(spark, texts)
+    assert len(want) > 40 and len(got.keys() & want.keys()) >= 0.9 * len(want)
+    assert all(want.get(k) == v for k, v in got.items() if k in want and v is False) and sum(want.get(k) == v for k, v in got.items()) >= 0.95 * len(got)
+
+
+def test_parts_of_the_verdicts(spark):
+    docs, _ = corpus(6, 200)
+    df = spark.createDataFrame([(k, t, s) for k, t, s, _ in docs] + [(900, WHOLE, "notes"), (901, WHOLE[:-40], "notes"), (902, None, "notes")], "doc_id long, text string, source string")
+    by = {r.doc_id: (r.part, r.truncated) for r in truncation.judged(df).collect()}
+    assert by[901] == ("copy", True) and by[900][0] == "closing" and 902 not in by
+    assert sum(r.n_texts for r in truncation.parts(df).collect()) == len(by)
 
 
 def test_signatures_estimate_similarity():
@@ -295,14 +369,26 @@ def test_signatures_estimate_similarity():
     a = np.array([rnd.getrandbits(64) for _ in range(400)], dtype=np.uint64)
     b = a.copy()
     b[:20] = [rnd.getrandbits(64) for _ in range(20)]
-    sigs = [np.frombuffer(truncation.signature(x), dtype=np.uint32) for x in (a, b)]
-    sets = [set(truncation.shingles(x).tolist()) for x in (a, b)]
+    runs = [truncation.shingles(x) for x in (a, b)]
+    sigs = truncation.signatures(np.concatenate(runs), np.array([0, len(runs[0])]))
+    sets = [set(x.tolist()) for x in runs]
     true = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
     assert abs(float((sigs[0] == sigs[1]).mean()) - true) < 0.15
+    assert len(truncation.bands(sigs)[0]) == truncation.BANDS
 
 
 def test_closing_puts_marks_and_footers_aside():
     assert truncation.closing("It is writ...\n\n[imported from board 4]") == ("It is writ", False, "ellipsis")
     assert truncation.closing("It is writ [truncated]") == ("It is writ", True, "bare")
     assert truncation.closing("It is written.\n-- \nsent by desk 4")[2] == "stop"
+    assert truncation.closing("It is writ\n" + "[" + "board " * 300 + "]")[0] == "It is writ"
+    assert truncation.closing("It is writ\n--\n" + "desk " * 400 + "\n" + "room " * 400)[0] == "It is writ"
     assert Counter(truncation.tokens("took=12ms a_b_c 1.2.3", truncation.Shapes({"took"})))["<n>ms"] == 1
+
+
+def test_ascii_texts_are_read_alike():
+    rnd = random.Random(12)
+    parts = ["src/a_b.c", "took=12ms", "1.2.3", "1.2", "3.", "deadbeef0123", "a" * 60, "x_y-z/", "don't", "...", ". ", ".", "\r\n", " ", "_", "(v2)", "ab12", "12ab", "/", "-"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 12)))
+        assert truncation._ASCII_TOKENS.findall(text) == truncation._TOKENS.findall(text), text
