@@ -56,7 +56,7 @@ PRIOR = 8
 #: among what follows: of a frequent word, and of any other, which may be a part of a word.
 KNOWN, RARE_WORD, RARE_PART = 20, 0.02, 0.05
 #: Words per shingle, hash functions, rows per band; similarity from which texts are near-copies.
-SHINGLE, HASHES, ROWS, SIMILAR = 5, 60, 6, 0.8
+SHINGLE, HASHES, ROWS, SIMILAR = 5, 72, 6, 0.8
 #: Partners of one bucket and closing that a text is held against in a round; more are left to further rounds.
 CHUNK = 1_024
 #: Token texts that a task remembers.
