@@ -5,8 +5,10 @@
 2. Every map task counts its rows in a trie (terminal counters) and emits each key once, so a key that holds a
    third of all rows crosses the shuffle once per task.
 3. Radix planning: buckets are key prefixes. A prefix that holds more than `capacity` entries and more than one
-   key is split by `step` further bytes, and so on until each bucket fits. At most entries/capacity prefixes are
-   oversized per level, and capacity is at least entries/MAX_SPLITS, so the plan has a proven bound.
+   key is split `step` bytes behind the first place at which its keys differ, which its least and its greatest key show,
+   and so on until each bucket fits. A level therefore parts every bucket it splits, however long the common prefixes
+   are, and `capacity` doesn't rise with the data. At most entries/capacity prefixes are oversized per level; they are a
+   table in the shared folder, broadcast only if it is small.
 4. Each bucket goes to one task, which merges the counters in a trie and emits the terminals.
 
 Defined cases: null equals only null; an empty text, a blank one and one of punctuation only are equal to each
@@ -15,17 +17,16 @@ other but not to null. Repeated rows count as copies. Empty input gives an empty
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from findlake.session import alnum, written
+from findlake.session import alnum, bounded, written
 
 SEP, NULL = "\x1f", "\x00"
-#: Most prefixes that can be split per level; the plan is broadcast, so this is its proven bound.
-MAX_SPLITS = 20_000
 #: Entries a bucket may hold without being split.
 CAPACITY = 50_000
 #: Bytes of the first digit and of each further one.
@@ -120,38 +121,39 @@ def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     return _frame(trie)
 
 
-def radix_plan(entries: DataFrame, capacity: int = CAPACITY, first: int = FIRST, step: int = STEP) -> list[tuple[int, DataFrame]]:
-    """(prefix length, oversized prefixes) of each level that must be split further; see the module's docstring."""
-    total = entries.count()
-    capacity = max(capacity, -(-total // MAX_SPLITS))
-    plan: list[tuple[int, DataFrame]] = []
-    rest, length = entries.select("key"), first
-    while total > capacity:
-        prefix = F.substring("key", 1, length)
+def _parted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """prefix, common: how long the beginning is that the least and the greatest key of a prefix share."""
+    for pdf in batches:
+        common = [len(os.path.commonprefix([lo, hi])) for lo, hi in zip(pdf["lo"], pdf["hi"])]
+        yield pd.DataFrame({"prefix": pdf["prefix"], "common": pd.Series(common, dtype="int32")})
+
+
+def radix_plan(entries: DataFrame, capacity: int = CAPACITY, first: int = FIRST, step: int = STEP) -> list[DataFrame]:
+    """The oversized prefixes (prefix, longer: the length its keys are split at) of each level; see the module's docstring."""
+    plan: list[DataFrame] = []
+    rest = entries.select("key", F.lit(first).alias("length"))
+    while True:
+        prefix = F.col("key").substr(F.lit(1), F.col("length"))
         over = (
             rest.groupBy(prefix.alias("prefix"))
             .agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
             .where((F.col("n") > capacity) & (F.col("lo") != F.col("hi")))
-            .select("prefix")
         )
-        prefixes = [r.prefix for r in over.collect()]  # at most MAX_SPLITS
-        if not prefixes:
-            break
-        split = entries.sparkSession.createDataFrame([(p,) for p in prefixes], "prefix string")
-        plan.append((length, split))
-        rest = rest.join(F.broadcast(split), prefix == split.prefix, "left_semi")
-        length += step
-    return plan
-
-
-def with_bucket(entries: DataFrame, plan: list[tuple[int, DataFrame]], first: int = FIRST, step: int = STEP) -> DataFrame:
-    """entries with `bucket`: the shortest prefix that needn't be split. The oversized prefixes are broadcast (bounded)."""
-    out, length = entries, F.lit(first)
-    for level, split in plan:
-        flag = split.select(F.col("prefix").alias(f"_p{level}"))
-        out = out.join(F.broadcast(flag), F.substring("key", 1, level) == F.col(f"_p{level}"), "left")
-        length = F.when(F.col(f"_p{level}").isNotNull(), F.lit(level + step)).otherwise(length)
-    return out.withColumn("bucket", F.col("key").substr(F.lit(1), length)).drop(*[f"_p{level}" for level, _ in plan])
+        split = written(over.select("prefix", "lo", "hi").mapInPandas(_parted, "prefix string, common int").select("prefix", (F.col("common") + step).alias("longer")), "split")
+        if not split.limit(1).count():
+            return plan
+        plan.append(split)
+        rest = rest.join(bounded(split), prefix == F.col("prefix")).select("key", F.col("longer").alias("length"))
+
+
+def with_bucket(entries: DataFrame, plan: list[DataFrame], first: int = FIRST) -> DataFrame:
+    """entries with `bucket`: the shortest prefix that needn't be split."""
+    out = entries.withColumn("_length", F.lit(first))
+    for split in plan:
+        prefix = F.col("key").substr(F.lit(1), F.col("_length"))
+        out = out.join(bounded(split.withColumnRenamed("prefix", "_prefix")), prefix == F.col("_prefix"), "left")
+        out = out.withColumn("_length", F.coalesce("longer", "_length")).drop("_prefix", "longer")
+    return out.withColumn("bucket", F.col("key").substr(F.lit(1), F.col("_length"))).drop("_length")
 
 
 def count_copies(keyed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

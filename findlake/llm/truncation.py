@@ -400,9 +400,8 @@ def closing_verdicts(read: DataFrame) -> DataFrame:
     is_end = lambda e: F.when(F.col("end") == e, 1).otherwise(0).cast("long")
     outer = ends.select("k3", "k2", "k1", is_end("stop").alias("stop"), zero.alias("line"), is_end("ellipsis").alias("ell"), zero.alias("goes"), is_end("bare").alias("bare"))
     sums = [F.sum(c).alias(c) for c in (*COUNTS, "bare")]
-    three = inside.unionByName(outer).groupBy("k3", "k2", "k1").agg(*sums)
     levels = F.explode(F.array("k3", "k2", "k1")).alias("key")
-    counts = three.select(levels, *COUNTS, "bare").groupBy("key").agg(*sums)
+    counts = inside.unionByName(outer).select(levels, *COUNTS, "bare").groupBy("key").agg(*sums)
 
     cases = ends.select(*_KEYS, "look", "end").distinct()
     asked = cases.select("k3", "end", "look", F.posexplode(F.array(*_KEYS)).alias("role", "key"))

@@ -139,7 +139,16 @@ def test_radix_plan_splits_until_buckets_fit(spark):
     entries = spark.createDataFrame([(k, 1, r) for k, r in keys], "key string, n long, first long")
     plan = radix.radix_plan(entries, 20)
     sizes = {r["bucket"]: (r["c"], r["d"]) for r in radix.with_bucket(entries, plan).groupBy("bucket").agg(F.count("*").alias("c"), F.countDistinct("key").alias("d")).collect()}
-    assert len(plan) > 2 and all(c <= 20 or d == 1 for c, d in sizes.values()) and sum(c for c, _ in sizes.values()) == 250
+    assert plan and all(c <= 20 or d == 1 for c, d in sizes.values()) and sum(c for c, _ in sizes.values()) == 250
+
+
+@pytest.mark.parametrize("common", [400, 10_000])
+def test_radix_levels_do_not_depend_on_common_prefixes(spark, common):
+    keys = ["k" * common + f"{k:04d}" for k in range(200)] + ["k" * common + "z" * common + f"{k:04d}" for k in range(100)] + ["k" * (common // 2)]
+    entries = spark.createDataFrame([(k, 1, r) for r, k in enumerate(keys)], "key string, n long, first long")
+    plan = radix.radix_plan(entries, 50)
+    sizes = [r["count"] for r in radix.with_bucket(entries, plan).groupBy("bucket").count().collect()]
+    assert len(plan) <= 4 and max(sizes) <= 50 and sum(sizes) == 301
 
 
 def test_trie_counts_like_a_dictionary():
