@@ -17,7 +17,7 @@ WEIGHTS = {
     "A": {"H": 0.56, "L": 0.22, "N": 0.0},
 }
 PRIVILEGES = {"U": {"N": 0.85, "L": 0.62, "H": 0.27}, "C": {"N": 0.85, "L": 0.68, "H": 0.5}}
-VECTOR = r"^CVSS:3\.[01]/AV:[NALP]/AC:[LH]/PR:[NLH]/UI:[NR]/S:[UC]/C:[NLH]/I:[NLH]/A:[NLH](/[A-Z]+:[A-Z])*$"
+VECTOR = r"\ACVSS:3\.[01]/AV:[NALP]/AC:[LH]/PR:[NLH]/UI:[NR]/S:[UC]/C:[NLH]/I:[NLH]/A:[NLH](/[A-Z]+:[A-Z])*\z"
 #: A representative score of each label.
 LABEL_SCORES = {"critical": 9.5, "high": 8.0, "medium": 5.5, "moderate": 5.5, "low": 2.0, "informational": 0.0, "none": 0.0}
 
@@ -34,7 +34,8 @@ def base_score(vector: Column) -> Column:
     impact = F.when(changed, 7.52 * (iss - 0.029) - 3.25 * F.pow(iss - 0.02, F.lit(15.0))).otherwise(6.42 * iss)
     raw = F.least(F.lit(10.0), F.when(changed, 1.08 * (impact + exploitability)).otherwise(impact + exploitability))
     score = F.when((iss <= 0) | (impact <= 0), 0.0).otherwise(F.ceil(F.round(raw * 10, 9)) / 10)
-    return F.when(vector.rlike(VECTOR), score)
+    known = [*w.values(), privileges]
+    return F.when(vector.rlike(VECTOR) & ~F.array_contains(F.array(*[x.isNull() for x in known]), True), score)
 
 
 def severity_of(score: Column) -> Column:

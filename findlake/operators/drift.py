@@ -1,17 +1,23 @@
 """Schemas that drift between the files of a feed: a report of every change, and one consistent table.
 
-1. Every whole line becomes (field, type, content) rows. Content is the field's scalar leaves in one notation, so it
-   survives a change of type (a number as text, a flag as 0/1, an object packed as text or into a list).
-2. Each column of a file is profiled: its type, and a sketch of (record key, content) for the K record keys with the
-   smallest hashes. The sampling is coordinated: the same records are kept in every file, so sketches of two files
-   can be compared record by record; files repeat part of their predecessor's records.
-3. Between consecutive files the fields that vanished and those that came are matched by a maximum-weight bipartite
-   matching. The weight of a pair is the evidence that their content goes on: the agreement on common records,
-   counted in bits by how rare the agreeing values are, helped by the likeness of the values and of the names.
+1. Every whole line becomes (field, type) rows, which give the columns of each file and their types.
+2. Columns that vanished or came between consecutive files are profiled further by a sketch of (record key, content) for
+   the K record keys with the smallest hashes. Content is the field's scalar leaves in one notation, so it survives a
+   change of type (a number as text, a flag as 0/1, an object packed as text or into a list). The sampling is
+   coordinated: the same records are kept in every file, so sketches of two files can be compared record by record;
+   files repeat part of their predecessor's records.
+3. The fields that vanished and those that came are matched by a maximum-weight bipartite matching. The weight of a pair
+   is the evidence that their content goes on: the agreement on common records, counted in bits by how rare the agreeing
+   values are, helped by the likeness of the values and of the names.
 4. Matched pairs are renames; the rest are added and removed fields; a changed type is a retype.
+5. The one table has a column per lineage of renames: a field keeps its first name in the feed; a name that is taken up
+   again while its column goes on under another name is a column of its own, `name@file`. Each column has one type in its
+   feed, the most frequent one, and values of other types are converted to it; the text of a value that can't be is kept
+   beside the row.
 
-Scale: one pass with a map-side limit to K rows per column (a window group limit), then batches of about PAIRS pairs of
-files' profiles, i.e. 2 x fields x K rows a pair, whatever the size of a file; the matching never sees more.
+Scale: one pass for types, one for the content of the columns in question with a map-side limit to K rows per column (a
+window group limit), then batches of about PAIRS pairs of files' profiles, i.e. 2 x fields x K rows a pair, whatever the
+size of a file; the matching never sees more.
 
 Defined cases: lines that are null, not whole or not objects don't count; a null value shows that a field is there
 but has no type; lines sent twice count once per record key; a field with several types has its most frequent one.
@@ -29,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from findlake.session import written
+from findlake.session import bounded, written
 
 #: Records kept in the sketch of each column.
 K = 128
@@ -67,36 +73,53 @@ def scalar(text: Column) -> Column:
     return F.coalesce(number, F.when(s == "true", "1.0").when(s == "false", "0.0").otherwise(s))
 
 
-def field_rows(raw: DataFrame, record_keys: tuple[str, ...] = RECORD_KEYS) -> DataFrame:
-    """feed, file_name, written_at, line_no, record, field, type, text, content: a row per top-level field of each whole line."""
+def fields(raw: DataFrame, record_keys: tuple[str, ...] = RECORD_KEYS) -> DataFrame:
+    """feed, file_name, written_at, line_no, record, field, type, _v: a row per top-level field of each whole line."""
     lines = raw.select("feed", "file_name", "written_at", "line_no", F.try_parse_json("body").alias("v"))
     key = F.coalesce(*[F.try_variant_get("v", f"$['{k}']", "string") for k in record_keys])
     keyed = lines.where(F.schema_of_variant("v").startswith("OBJECT")).withColumn("record", key)
-    view = keyed.sparkSession
-    fields = keyed.lateralJoin(view.tvf.variant_explode(F.col("v").outer()))
-    rows = fields.where(~F.col("key").isin(*record_keys)).select("feed", "file_name", "written_at", "line_no", "record", F.col("key").alias("field"), _type(F.col("value")).alias("type"), F.col("value").alias("_v"))
+    exploded = keyed.lateralJoin(keyed.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    return exploded.where(~F.col("key").isin(*record_keys)).select("feed", "file_name", "written_at", "line_no", "record", F.col("key").alias("field"), _type(F.col("value")).alias("type"), F.col("value").alias("_v"))
+
+
+def with_content(rows: DataFrame) -> DataFrame:
+    """rows of `fields` with content in place of _v."""
     plain = F.when(F.col("type") == "string", F.try_variant_get("_v", "$", "string"))
     text = F.when(F.col("type").isNull(), None).otherwise(F.to_json("_v"))
-    rows = rows.select("feed", "file_name", "written_at", "line_no", "record", "field", "type", text.alias("text"), plain.alias("plain"))
+    rows = rows.select("feed", "file_name", "record", "field", "type", text.alias("text"), plain.alias("plain"))
     inner = F.when(F.col("plain").rlike(r"^\s*[\[{]"), F.to_json(F.try_parse_json("plain")))
     simple = F.coalesce("plain", F.when(~F.col("type").isin("array", "object"), F.col("text")))
     nested = simple.isNull() | simple.rlike(r'[\[\]{},"\\]')
-    return rows.select(
-        "feed", "file_name", "written_at", "line_no", "record", "field", "type", "text",
-        F.when(nested, content(F.coalesce(inner, F.col("text")))).otherwise(scalar(simple)).alias("content"),
-    )
+    return rows.select("feed", "file_name", "record", "field", F.when(nested, content(F.coalesce(inner, F.col("text")))).otherwise(scalar(simple)).alias("content"))
+
 
+def column_types(rows: DataFrame) -> DataFrame:
+    """feed, file_name, field, written_at, type, types: the type of each column of each file, and how often it has each."""
+    by_type = rows.groupBy("feed", "file_name", "field", "type").agg(F.count("*").alias("n"), F.max("written_at").alias("written_at"))
+    main = F.max_by("type", F.when(F.col("type").isNotNull(), F.struct("n", "type")))
+    return by_type.groupBy("feed", "file_name", "field").agg(F.max("written_at").alias("written_at"), main.alias("type"), F.collect_list(F.when(F.col("type").isNotNull(), F.struct("type", "n"))).alias("types"))
 
-def profiles(rows: DataFrame, k: int = K) -> DataFrame:
-    """feed, file_name, written_at, field, type, sketch: the profile of each column of each file."""
-    file = ["feed", "file_name"]
-    by_type = rows.groupBy(*file, "field", "type").agg(F.count("*").alias("n"), F.max("written_at").alias("written_at"))
-    kinds = by_type.groupBy(*file, "field").agg(F.max("written_at").alias("written_at"), F.max_by("type", F.when(F.col("type").isNotNull(), F.struct("n", "type"))).alias("type"))
-    values = rows.where("record is not null and content is not null").select(*file, "field", F.xxhash64("record").alias("r"), "content")
-    smallest = Window.partitionBy(*file, "field").orderBy("r", "content")
+
+def file_pairs(kinds: DataFrame) -> DataFrame:
+    """feed, to_file, from_file: each file of a feed with the one before it."""
+    files = kinds.groupBy("feed", "file_name").agg(F.max("written_at").alias("written_at"))
+    order = Window.partitionBy("feed").orderBy("written_at", "file_name")
+    return files.select("feed", F.col("file_name").alias("to_file"), F.lag("file_name").over(order).alias("from_file")).where("from_file is not null")
+
+
+def sketches(rows: DataFrame, kinds: DataFrame, pairs: DataFrame, k: int = K) -> DataFrame:
+    """feed, file_name, field, sketch: the sketches of the columns that vanished or came where both happened at once."""
+    sides = pairs.select("feed", "to_file", F.inline(F.array(F.struct(F.col("from_file").alias("file_name"), F.lit(0).alias("side")), F.struct(F.col("to_file").alias("file_name"), F.lit(1).alias("side")))))
+    seen = sides.join(kinds.select("feed", "file_name", "field"), ["feed", "file_name"]).groupBy("feed", "to_file", "field").agg(F.count("*").alias("n"), F.max("side").alias("side"), F.max("file_name").alias("file_name"))
+    lone = seen.where("n = 1").select("feed", "to_file", "field", "side", "file_name")
+    both = lone.groupBy("feed", "to_file").agg(F.countDistinct("side").alias("sides")).where("sides = 2").select("feed", "to_file")
+    wanted = lone.join(both, ["feed", "to_file"], "left_semi").select("feed", "file_name", "field").distinct()
+    values = with_content(rows.where("record is not null").join(bounded(wanted), ["feed", "file_name", "field"], "left_semi")).where("content is not null")
+    values = values.select("feed", "file_name", "field", F.xxhash64("record").alias("r"), "content")
+    smallest = Window.partitionBy("feed", "file_name", "field").orderBy("r", "content")
     entry = F.struct("r", F.xxhash64("content").alias("c"), F.regexp_extract("content", r"^\d+\.0$", 0).try_cast("double").alias("num"))
-    sketch = values.withColumn("k", F.row_number().over(smallest)).where(F.col("k") <= k).groupBy(*file, "field").agg(F.collect_list(entry).alias("sketch"))
-    return kinds.join(sketch, [*file, "field"], "left")
+    kept = values.withColumn("k", F.row_number().over(smallest)).where(F.col("k") <= k)
+    return kept.groupBy("feed", "file_name", "field").agg(F.collect_list(entry).alias("sketch"))
 
 
 @lru_cache(maxsize=100_000)
@@ -203,40 +226,117 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["feed", "file_name", "drift_kind", "field_name", "new_name"])
 
 
-def drift_report(raw: DataFrame, k: int = K) -> DataFrame:
-    """feed, file_name, drift_kind, field_name, new_name: every change of a file against the one before it."""
-    columns = written(profiles(field_rows(raw), k), "profiles")  # used for the file order and for both sides
-    files = columns.groupBy("feed", "file_name").agg(F.max("written_at").alias("written_at"))
-    order = Window.partitionBy("feed").orderBy("written_at", "file_name")
-    pairs = files.select("feed", F.col("file_name").alias("to_file"), F.lag("file_name").over(order).alias("from_file")).where("from_file is not null")
+def _report(rows: DataFrame, kinds: DataFrame, k: int) -> DataFrame:
+    pairs = file_pairs(kinds)
+    columns = kinds.join(sketches(rows, kinds, pairs, k), ["feed", "file_name", "field"], "left")
     sides = pairs.select("feed", "to_file", F.posexplode(F.array("from_file", "to_file")).alias("side", "file_name"))
-    batches = max(1, -(-files.count() // PAIRS))
+    batches = max(1, -(-kinds.select("feed", "file_name").distinct().count() // PAIRS))
     sketch = [F.col(f"sketch.{c}").alias(c) for c in ("r", "c", "num")]
     both = sides.join(columns.select("feed", "file_name", "field", "type", *sketch), ["feed", "file_name"])
-    grouped = both.withColumn("batch", F.pmod(F.xxhash64("feed", "to_file"), F.lit(batches)))
-    return grouped.groupBy("batch").applyInPandas(_compare, REPORT)
+    return both.withColumn("batch", F.pmod(F.xxhash64("feed", "to_file"), F.lit(batches))).groupBy("batch").applyInPandas(_compare, REPORT)
+
+
+def drift_report(raw: DataFrame, k: int = K) -> DataFrame:
+    """feed, file_name, drift_kind, field_name, new_name: every change of a file against the one before it."""
+    rows = fields(raw)
+    return _report(rows, written(column_types(rows), "profiles"), k)
 
 
 def _lineage(pdf: pd.DataFrame) -> pd.DataFrame:
-    """feed, file_name, field, column_name: each field's first name in its feed. pdf: the files in order with renames."""
-    current: dict[str, str] = {}
+    """feed, file_name, field, column_name of every field of a feed's files. pdf: the files in order (ord), each with its
+    fields and renames. A column is named after its first field; see the module's docstring for names that come again."""
+    lives: dict[str, str] = {}  # field -> its column, as of the file before
     out = []
-    for _, name, renames in sorted(zip(pdf["ord"], pdf["file_name"], pdf["renames"]), key=lambda x: x[0]):
-        moved = {r["new_name"]: current.get(r["field_name"], r["field_name"]) for r in (renames if renames is not None else [])}
-        for r in renames if renames is not None else []:
-            current.pop(r["field_name"], None)
-        current |= moved
-        out += [(pdf["feed"].iloc[0], name, f, c) for f, c in current.items() if f != c]
+    for _, name, present, renames in sorted(zip(pdf["ord"], pdf["file_name"], pdf["fields"], pdf["renames"]), key=lambda x: x[0]):
+        old_of = {r["new_name"]: r["field_name"] for r in (renames if renames is not None else [])}
+        new: dict[str, str] = {}
+        for field in present:
+            source = old_of.get(field, field if field not in old_of.values() else None)
+            if source is not None and source in lives:
+                new[field] = lives[source]
+        taken = set(new.values()) | {c for f, c in lives.items() if f not in old_of.values() and f not in present}
+        for field in sorted(set(present) - new.keys()):
+            new[field] = field if field not in taken else f"{field}@{name}"
+            taken.add(new[field])
+        lives = {f: c for f, c in lives.items() if f not in old_of.values() and f not in new and c not in new.values()} | new
+        out += [(pdf["feed"].iloc[0], name, f, c) for f, c in new.items()]
     return pd.DataFrame(out, columns=["feed", "file_name", "field", "column_name"])
 
 
+def lineage(kinds: DataFrame, report: DataFrame) -> DataFrame:
+    """feed, file_name, field, column_name: the unified column of each column of each file. A task holds the names of the
+    fields of one feed's files, no values."""
+    renames = report.where("drift_kind = 'renamed'").groupBy("feed", "file_name").agg(F.collect_list(F.struct("field_name", "new_name")).alias("renames"))
+    files = kinds.groupBy("feed", "file_name").agg(F.max("written_at").alias("written_at"), F.collect_set("field").alias("fields"))
+    numbered = files.withColumn("ord", F.row_number().over(Window.partitionBy("feed").orderBy("written_at", "file_name"))).drop("written_at")
+    return numbered.join(renames, ["feed", "file_name"], "left").groupBy("feed").applyInPandas(_lineage, "feed string, file_name string, field string, column_name string")
+
+
+def unified_columns(kinds: DataFrame, names: DataFrame) -> DataFrame:
+    """feed, column_name, type, n_files, n_values: the columns of the one table. The type is the most frequent one over all
+    values of the column in its feed; string if it has none."""
+    typed = kinds.join(names, ["feed", "file_name", "field"]).select("feed", "column_name", "file_name", F.inline_outer("types"))
+    by_type = typed.groupBy("feed", "column_name", "type").agg(F.sum("n").alias("n"), F.collect_set("file_name").alias("f"))
+    main = F.coalesce(F.max_by("type", F.when(F.col("type").isNotNull(), F.struct("n", "type"))), F.lit("string"))
+    return by_type.groupBy("feed", "column_name").agg(main.alias("type"), F.size(F.array_distinct(F.flatten(F.collect_list("f")))).cast("long").alias("n_files"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_values"))
+
+
+def _quoted(text: Column) -> Column:
+    """The text as a JSON string."""
+    whole = F.to_json(F.struct(text.alias("x")))
+    return F.substr(whole, F.lit(6), F.length(whole) - 6)
+
+
+def _converted(kind: Column, own: Column, v: Column) -> Column:
+    """The value as JSON text of the type `kind`, null if it can't be converted. own: the type it has."""
+    text = F.to_json(v)
+    plain = F.coalesce(F.when(own == "string", F.try_variant_get(v, "$", "string")), text)
+    number = F.regexp_extract(plain, r"^\s*[+]?(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)\s*$", 1)
+    flag = F.lower(F.trim(plain))
+    packed = F.to_json(F.try_parse_json(F.when(own == "string", plain)))
+    as_list = F.when(own == "object", F.concat(F.lit("["), text, F.lit("]"))).when(own == "string", F.when(packed.startswith("["), packed))
+    return (
+        F.when(kind == own, text)
+        .when(kind == "string", _quoted(plain))
+        .when(kind == "number", F.when(own == "boolean", F.when(flag == "true", "1").otherwise("0")).when(number != "", F.regexp_replace(number, r"^(-?)0+(?=\d)", "$1")))
+        .when(kind == "boolean", F.when(flag.isin("true", "1", "1.0", "yes", "y"), "true").when(flag.isin("false", "0", "0.0", "no", "n"), "false"))
+        .when(kind == "array", as_list)
+        .when(kind == "object", F.when(packed.startswith("{"), packed))
+    )
+
+
+def _object(entries: Column) -> Column:
+    """A JSON object of (key, value text) entries, of equal keys the first; null without any."""
+    ordered = F.array_sort(entries)
+    once = F.filter(ordered, lambda x, i: (i == 0) | (x["key"] != F.try_element_at(ordered, i)["key"]))
+    members = F.transform(once, lambda x: F.concat(_quoted(x["key"]), F.lit(":"), x["value"]))
+    return F.when(F.size(once) > 0, F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")))
+
+
 def unified(raw: DataFrame, k: int = K) -> DataFrame:
-    """feed, file_name, line_no, record, fields: every whole line with its columns under their first names in the feed."""
-    rows = field_rows(raw)
-    renames = drift_report(raw, k).where("drift_kind = 'renamed'").groupBy("feed", "file_name").agg(F.collect_list(F.struct("field_name", "new_name")).alias("renames"))
-    files = rows.groupBy("feed", "file_name").agg(F.max("written_at").alias("written_at"))
-    numbered = files.select("feed", "file_name", F.row_number().over(Window.partitionBy("feed").orderBy("written_at", "file_name")).alias("ord"))
-    names = numbered.join(renames, ["feed", "file_name"], "left").groupBy("feed").applyInPandas(_lineage, "feed string, file_name string, field string, column_name string")
-    named = rows.join(names, ["feed", "file_name", "field"], "left").withColumn("column", F.coalesce("column_name", "field"))
-    entry = F.struct(F.col("column").alias("key"), F.col("text").alias("value"))
-    return named.groupBy("feed", "file_name", "line_no", "record").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_set(entry)))).alias("fields"))
+    """feed, file_name, line_no, record, fields, written: every whole line with its values under their unified columns.
+
+    fields: a JSON object whose members have the types of `unified_columns` (null where the line has null); `written`: the
+    values, as they are written, that can't be converted to their column's type, null if there are none."""
+    rows = fields(raw)
+    kinds = written(column_types(rows), "profiles")
+    names = written(lineage(kinds, _report(rows, kinds, k)), "names")
+    types = names.join(unified_columns(kinds, names).select("feed", "column_name", F.col("type").alias("kind")), ["feed", "column_name"])
+    named = rows.join(bounded(types), ["feed", "file_name", "field"])
+    text = F.when(F.col("type").isNotNull(), F.to_json("_v"))
+    cells = named.select("feed", "file_name", "line_no", "record", F.col("column_name").alias("key"), "type", text.alias("text"), F.when(F.col("type").isNotNull(), _converted(F.col("kind"), F.col("type"), F.col("_v"))).alias("value"))
+    entry = F.struct("key", F.coalesce("value", F.lit("null")).alias("value"))
+    lost = F.when(F.col("type").isNotNull() & F.col("value").isNull(), F.struct("key", F.col("text").alias("value")))
+    grouped = cells.groupBy("feed", "file_name", "line_no", "record").agg(F.collect_set(entry).alias("e"), F.collect_set(lost).alias("l"))
+    return grouped.select("feed", "file_name", "line_no", "record", _object(F.col("e")).alias("fields"), _object(F.col("l")).alias("written"))
+
+
+SPARK_TYPES = {"string": "string", "number": "double", "boolean": "boolean", "array": "string", "object": "string"}
+
+
+def typed(rows: DataFrame, columns: DataFrame, feed: str) -> DataFrame:
+    """The rows of `unified` of one feed as a table with a typed column for each unified column (lists and objects as JSON
+    text). The names are collected: as many as the feed has columns."""
+    own = columns.where(F.col("feed") == feed).orderBy("column_name").collect()
+    value = lambda r: F.try_variant_get("v", "$['" + r.column_name.replace("'", "\\'") + "']", SPARK_TYPES[r.type]).alias(r.column_name)
+    return rows.where(F.col("feed") == feed).withColumn("v", F.parse_json("fields")).select("feed", "file_name", "line_no", "record", *map(value, own))

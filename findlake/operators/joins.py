@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most directory levels that a lookup climbs.
-MAX_LEVELS = 64
+#: Lines of a block that line ranges are entered into.
+BLOCK = 64
 
 
 def path_parts(path: Column) -> Column:
@@ -29,11 +29,9 @@ def basename(path: Column) -> Column:
 
 
 def ancestors(directory: Column) -> Column:
-    """array<struct<dir, depth>>: the directory itself and all above it, '' being the root; at most MAX_LEVELS."""
+    """array<struct<dir, depth>>: the directory itself and all above it, however deep, '' being the root."""
     parts = path_parts(directory)
-    n = F.size(parts)
-    steps = F.sequence(F.greatest(n - MAX_LEVELS + 1, F.lit(0)), n)
-    return F.transform(steps, lambda k: F.struct(F.array_join(F.slice(parts, 1, k), "/").alias("dir"), k.alias("depth")))
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, 1, k), "/").alias("dir"), k.alias("depth")))
 
 
 def nearest_ancestor(lower: DataFrame, upper: DataFrame, keys: list[str], lower_dir: str, upper_dir: str, row: str, position: str, keep: str) -> DataFrame:
@@ -50,16 +48,26 @@ def tolerance_match(expected: DataFrame, produced: DataFrame, drift: int, famili
 
     expected(expected_id, file, cwe, line_start, line_end), produced(produced_id, file, cwe, start_line, end_line).
     One path must end with the other, the line ranges widened by drift must meet (a null line_start matches any line),
-    and the CWEs must be equal or siblings. Blocked on the last part of the path."""
-    e = expected.select("expected_id", normal_path(F.col("file")).alias("e_file"), F.col("cwe").alias("e_cwe"), "line_start", F.coalesce("line_end", "line_start").alias("line_end"), basename(F.col("file")).alias("base"))
+    and the CWEs must be equal or siblings. Joined on the last part of the path, the CWE (the expected side is entered
+    under each of its siblings) and the blocks of BLOCK lines that the ranges touch; a pair counts in the first block that
+    it has in common, so it comes once. Only expected rows without a line meet all lines of their file name and CWE."""
+    e = expected.select("expected_id", normal_path(F.col("file")).alias("e_file"), F.col("cwe").alias("e_cwe"), "line_start", F.coalesce("line_end", "line_start").alias("line_end"), basename(F.col("file")).alias("base")).where("base <> ''")
     p = produced.select("produced_id", normal_path(F.col("file")).alias("p_file"), F.upper("cwe").alias("p_cwe"), "start_line", F.coalesce("end_line", "start_line").alias("end_line"), basename(F.col("file")).alias("base"))
-    lines = F.col("line_start").isNull() | ((F.col("start_line") <= F.col("line_end") + drift) & (F.col("end_line") >= F.col("line_start") - drift))
-    paths = F.col("p_file").endswith(F.col("e_file")) | F.col("e_file").endswith(F.col("p_file"))
-    same = F.col("p_cwe") == F.col("e_cwe")
+    names = F.array("e_cwe")
     if families:
         siblings = F.create_map(*[x for k, v in families.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-        same = same | F.coalesce(F.array_contains(F.try_element_at(siblings, F.col("e_cwe")), F.col("p_cwe")), F.lit(False))
-    return e.where("base <> ''").join(p, "base").where(paths & lines & same).select("expected_id", "produced_id")
+        names = F.array_union(names, F.coalesce(F.try_element_at(siblings, F.col("e_cwe")), F.array().cast("array<string>")))
+    e = e.withColumn("p_cwe", F.explode(names))
+    block = lambda c: F.floor(c / BLOCK)
+    lo, hi = F.col("line_start") - drift, F.greatest("line_end", "line_start") + drift
+    placed = e.where("line_start is not null").withColumns({"e_lo": block(lo), "_b": F.explode(F.sequence(block(lo), block(hi)))})
+    first, last = F.least("start_line", "end_line"), F.greatest("start_line", "end_line")
+    ranges = p.where("start_line is not null").withColumns({"p_lo": block(first), "_b": F.explode(F.sequence(block(first), block(last)))})
+    near = placed.join(ranges, ["base", "p_cwe", "_b"]).where(F.col("_b") == F.greatest("e_lo", "p_lo"))
+    near = near.where((F.col("start_line") <= F.col("line_end") + drift) & (F.col("end_line") >= F.col("line_start") - drift))
+    anywhere = e.where("line_start is null").join(p, ["base", "p_cwe"])
+    found = near.select("expected_id", "produced_id", "e_file", "p_file").unionByName(anywhere.select("expected_id", "produced_id", "e_file", "p_file"))
+    return found.where(F.col("p_file").endswith(F.col("e_file")) | F.col("e_file").endswith(F.col("p_file"))).select("expected_id", "produced_id")
 
 
 def innermost(points: DataFrame, spans: DataFrame, key: str, at: str, row: str, width: int = 64) -> DataFrame:

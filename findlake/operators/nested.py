@@ -1,7 +1,7 @@
 """Deeply nested semi-structured records into related flat tables that keep parent-child links.
 
-1. Each record is read as a stream of tokens and becomes path-value-ordinal triples: every scalar leaf with its
-   path, whose list places are ordinals. A list item that is a scalar is a leaf of its own.
+1. Each record is decoded and becomes path-value-ordinal triples: every scalar leaf with its path, whose list places
+   are ordinals. A list item that is a scalar is a leaf of its own. Nothing recurses, so records may be nested to any depth.
 2. Paths are grouped by repeated ancestor: the innermost list above a leaf (`affected[].ranges[].events[]`). A bare
    item in place of a list counts as item 0 of it; the schema says which paths are lists.
 3. Each group is pivoted into one table: a row per item with its own path, its parent's path and one column per leaf.
@@ -9,22 +9,23 @@
 Each triple carries its whole path, so the pivot is one aggregation with map-side partial results per record; no
 record is joined with itself and none is collected across records.
 
-Defined cases: wrappers around the record (one-item lists, one-key objects, JSON inside a JSON string) are taken
-off, at most MAX_WRAP of them; a text that is null, blank or not readable gives no triple; null items give none but
-keep their place; an empty list gives none. Numbers keep the text they are written with. Repeated rows of a record
+Defined cases: wrappers around records (lists, objects without the record's mark, JSON inside a JSON string) are taken
+off, however many there are, and every record in them is read, each with paths of its own; a text that is null, blank or
+not readable gives no triple (`unreadable` lists such rows); null items give none but keep their place; an empty list gives none. Numbers keep the text they are written with. Repeated rows of a record
 give the same children once.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_WRAP = 8
 #: Triples that a task holds before it passes them on.
 FLUSH = 20_000
 COLUMNS = ["record", "ancestor", "parent_path", "item_path", "leaf", "ordinal", "value"]
@@ -42,24 +43,83 @@ def _no_constant(text: str) -> str:
 _DECODER = json.JSONDecoder(parse_float=_Number, parse_int=_Number, parse_constant=_no_constant)
 
 
-def read_record(text: str | None, mark: str) -> dict | None:
-    """The record in text without wrappers, i.e. the first object that has the field `mark`; None if there is none."""
-    value: object = text
-    for _ in range(MAX_WRAP):
+_SPACE = re.compile(r"[ \t\r\n]*")
+_PLAIN = re.compile(r"(?P<number>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)|true|false|null")
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def decode_deep(text: str) -> object:
+    """The same as the decoder, token by token with a stack of its own, for texts too deep for recursion."""
+    root: list = []
+    stack: list[tuple[list | dict, str | None]] = [(root, None)]  # an open list or object, and the key that waits for its value
+    at, due = _SPACE.match(text).end(), "value"  # what may come next: a value, a key, or what follows a value
+    while at < len(text):
+        holder, key = stack[-1]
+        c = text[at]
+        if due in ("value", "first") and not (c == "]" and due == "first" and isinstance(holder, list)):
+            if c in "[{":
+                value: object = [] if c == "[" else {}
+                at += 1
+            elif c == '"':
+                value, at = scanstring(text, at + 1, True)
+            else:
+                m = _PLAIN.match(text, at)
+                if not m:
+                    raise ValueError(f"no value at {at}")
+                value, at = _Number(m.group()) if m.group("number") else _WORDS[m.group()], m.end()
+            if isinstance(holder, list):
+                holder.append(value)
+            else:
+                holder[key] = value
+            due = "after"
+            if isinstance(value, list) or isinstance(value, dict):
+                stack.append((value, None))
+                due = "first" if isinstance(value, list) else "first key"
+        elif due in ("key", "first key") and c == '"':
+            name, at = scanstring(text, at + 1, True)
+            at = _SPACE.match(text, at).end()
+            if text[at : at + 1] != ":":
+                raise ValueError(f"no colon at {at}")
+            stack[-1], at, due = (holder, name), at + 1, "value"
+        elif len(stack) > 1 and c == ("]" if isinstance(holder, list) else "}") and due in ("after", "first", "first key"):
+            stack.pop()
+            at, due = at + 1, "after"
+        elif len(stack) > 1 and c == "," and due == "after":
+            at, due = at + 1, "value" if isinstance(holder, list) else "key"
+        else:
+            raise ValueError(f"unexpected text at {at}")
+        at = _SPACE.match(text, at).end()
+    if len(stack) > 1 or len(root) != 1:
+        raise ValueError("not whole")
+    return root[0]
+
+
+def decode(text: str) -> object:
+    """The value of a JSON text, numbers as they are written; ValueError if it isn't readable."""
+    try:
+        return _DECODER.decode(text)
+    except RecursionError:
+        return decode_deep(text)
+
+
+def read_records(text: str | None, mark: str) -> list[dict]:
+    """The records in text without wrappers, i.e. the outermost objects that have the field `mark`, in order."""
+    out, waiting = [], [text]
+    while waiting:
+        value = waiting.pop()
         if isinstance(value, str) and not isinstance(value, _Number):
             try:
-                value = _DECODER.decode(value.strip("﻿ \t\r\n\x00"))
-            except (ValueError, RecursionError):
-                return None
+                waiting.append(decode(value.strip("\ufeff \t\r\n\x00")))
+            except ValueError:
+                continue
         elif isinstance(value, dict) and mark in value:
-            return value
-        elif isinstance(value, dict) and len(value) >= 1:
-            value = next((x for x in value.values() if isinstance(x, dict)), None) if len(value) > 1 else next(iter(value.values()))
+            out.append(value)
+        elif isinstance(value, dict):
+            inside = list(value.values())
+            waiting += reversed(inside if len(inside) == 1 else [x for x in inside if isinstance(x, (dict, list))])
         elif isinstance(value, list):
-            value = next((x for x in value if x is not None), None)
-        else:
-            return None
-    return None
+            waiting += reversed(value)
+    return out
 
 
 def _text(value: object) -> str:
@@ -97,8 +157,7 @@ def to_triples(df: DataFrame, key: str, text: str, mark: str, lists: list[str])
         for pdf in batches:
             out: list[tuple] = []
             for k, t in zip(pdf["k"].tolist(), pdf["t"].tolist()):
-                record = read_record(t, mark)
-                if record is not None:
+                for record in read_records(t, mark):
                     out += [(k, *x) for x in triples(record, wanted)]
                 if len(out) >= FLUSH:
                     yield pd.DataFrame(out, columns=COLUMNS)
@@ -108,6 +167,16 @@ def to_triples(df: DataFrame, key: str, text: str, mark: str, lists: list[str])
     return df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where("k is not null and t is not null").mapInPandas(parse, TRIPLES)
 
 
+def unreadable(df: DataFrame, text: str, mark: str) -> DataFrame:
+    """The rows in whose text no record can be read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[[not read_records(t, mark) for t in pdf[text].tolist()]]
+
+    return df.mapInPandas(run, df.schema)
+
+
 def pivot_table(rows: DataFrame, ancestor: str, leaves: dict[str, str]) -> DataFrame:
     """One flat table: the items of a repeated ancestor, leaves {path below the item: column}; '' is the item itself."""
     own = rows.where(F.col("ancestor") == ancestor)

@@ -7,9 +7,10 @@ it, `missing` if none ever does. Pending orphans are resolved by an arriving par
 is deleted; `snapshots` counts those that are open at the end of each month.
 
 The fold is incremental: it runs in chunks of one key and period, and a chunk starts from the state carried over
-from the key's earlier chunks. For most keys the one chunk is all of its time. Keys with more than `hot` events
-(at most events/hot of them, a proven bound for the broadcast) are folded day by day, so no task holds all events of
-a hot key, and the carried state is aggregated before the shuffle.
+from the key's earlier chunks. For most keys the one chunk is all of its time. Every key with more than `hot` events
+(there are at most events/hot of them) is folded in periods that are the shorter the more events it has, down to a
+second, so no task holds all events of a hot key; the carried state is aggregated before the shuffle. Which keys are hot is
+joined, never collected.
 
 Defined cases: a reference with a null or blank key or a null time is none; a parent with a null key or arrival
 never arrives; one that is deleted at or before its arrival arrives but is never alive. Repeated rows are counted as
@@ -21,10 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from findlake.session import bounded, written
+
 #: A key with more events than this is folded period by period.
 HOT = 200_000
-#: Most hot keys; with more events the threshold rises so that the broadcast stays within this.
-MAX_HOT = 10_000
 #: Fixed value: the digits that a shortened hash has at least.
 WIDTH = 12
 
@@ -77,13 +78,19 @@ def _log(events: DataFrame, refs: DataFrame, hot: int) -> tuple[DataFrame, bool]
     log = events.select("key", "at", "kind", "n", F.lit(None).cast("long").alias("row")).unionByName(
         refs.select("key", "at", F.lit(2).alias("kind"), F.lit(0).alias("n"), "row")
     )
-    counts = log.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > hot)
-    keys = [r.key for r in counts.orderBy(F.desc("c")).limit(MAX_HOT).select("key").collect()]
-    if not keys:
-        return log.withColumn("chunk", F.lit(0)), False
-    marked = log.sparkSession.createDataFrame([(k,) for k in keys], "key string").withColumn("is_hot", F.lit(True))
-    day = F.datediff("at", F.lit("1970-01-01"))
-    return log.join(F.broadcast(marked), "key", "left").withColumn("chunk", F.when(F.col("is_hot"), day).otherwise(F.lit(0))).drop("is_hot"), True
+    return _chunked(log, hot)
+
+
+def _chunked(log: DataFrame, hot: int) -> tuple[DataFrame, bool]:
+    """The log with the chunk of each event; whether any key is hot. A hot key's time is cut into twice as many equal
+    periods as it has times `hot` events, of a second at least."""
+    second = F.unix_micros(F.col("at").cast("timestamp")) / 1_000_000
+    counts = log.groupBy("key").agg(F.count("*").alias("c"), F.min(second).alias("from"), F.max(second).alias("to")).where(F.col("c") > hot)
+    counts = written(counts.select("key", "from", F.greatest((F.col("to") - F.col("from")) * hot / (2 * F.col("c")), F.lit(1.0)).alias("period")), "hot")
+    if not counts.limit(1).count():
+        return log.withColumn("chunk", F.lit(0).cast("long")), False
+    chunk = F.coalesce(F.floor((second - F.col("from")) / F.col("period")), F.lit(0))
+    return log.join(bounded(counts), "key", "left").withColumn("chunk", chunk).drop("from", "period"), True
 
 
 def _folded(log: DataFrame, chunked: bool) -> DataFrame:
@@ -108,17 +115,26 @@ def orphans(events: DataFrame, refs: DataFrame, hot: int = HOT) -> DataFrame:
     return folded.where((F.col("kind") == 2) & (F.col("alive") <= 0)).select("row", "at", kind.alias("orphan_kind"))
 
 
-def snapshots(events: DataFrame, refs: DataFrame) -> DataFrame:
+def snapshots(events: DataFrame, refs: DataFrame, hot: int = HOT) -> DataFrame:
     """month, open_orphans, opened, resolved: the state at the end of each month in which something changed.
 
     A reference is open from its probe, and whenever its key has no parent alive; arriving parents resolve the key's
-    waiting references, deletions of the last parent reopen them. Only the changes are aggregated."""
+    waiting references, deletions of the last parent reopen them. Only the changes are aggregated. The state before a
+    chunk of a hot key (see the module's docstring) is summed over the chunks before it."""
     log = events.select("key", "at", "kind", "n").unionByName(refs.select("key", "at", F.lit(2).alias("kind"), F.lit(0).alias("n")))
     per_time = log.groupBy("key", "at").agg(F.sum("n").alias("n"), F.count_if(F.col("kind") == 2).alias("refs"))
-    order = Window.partitionBy("key").orderBy("at")
-    state = per_time.select("key", "at", F.sum("n").over(order).alias("alive"), F.sum("refs").over(order).alias("refs"))
-    open_now = F.when(F.col("alive") <= 0, F.col("refs")).otherwise(F.lit(0))
-    change = state.withColumn("delta", open_now - F.coalesce(F.lag(open_now).over(order), F.lit(0))).where("delta <> 0")
+    parts, chunked = _chunked(per_time, hot)
+    order = Window.partitionBy("key", "chunk").orderBy("at")
+    state = parts.withColumns({"alive": F.sum("n").over(order), "all": F.sum("refs").over(order)})
+    if chunked:
+        before = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+        sums = parts.groupBy("key", "chunk").agg(F.sum("n").alias("n"), F.sum("refs").alias("refs"))
+        zero = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+        state = state.join(sums.select("key", "chunk", zero("n").alias("n0"), zero("refs").alias("refs0")), ["key", "chunk"])
+        state = state.withColumns({"alive": F.col("alive") + F.col("n0"), "all": F.col("all") + F.col("refs0")})
+    open_now = F.when(F.col("alive") <= 0, F.col("all")).otherwise(F.lit(0))
+    open_before = F.when(F.col("alive") - F.col("n") <= 0, F.col("all") - F.col("refs")).otherwise(F.lit(0))
+    change = state.withColumn("delta", open_now - open_before).where("delta <> 0")
     months = change.groupBy(F.date_format("at", "yyyy-MM").alias("month")).agg(
         F.sum("delta").alias("net"), F.sum(F.greatest("delta", F.lit(0))).alias("opened"), F.sum(F.greatest(-F.col("delta"), F.lit(0))).alias("resolved")
     )

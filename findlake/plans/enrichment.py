@@ -106,15 +106,16 @@ def advisory_signals(spark: SparkSession, d: str) -> DataFrame:
   p AS (SELECT t.row_id, e.w, CASE WHEN e.path = t.path AND e.cwe = t.cwe THEN 7 WHEN e.path = t.path THEN 4 WHEN e.cwe = t.cwe THEN 2 ELSE 0 END AS score FROM t JOIN e ON t.base = e.base)
 SELECT row_id, arg_max(w, {'a': score, 'b': -w}) AS witness, max(score) AS score FROM p WHERE score > 0 GROUP BY 1""")
 def best_witness(spark: SparkSession, d: str) -> DataFrame:
-    """The best-scoring witness of each finding: same place and weakness, same place, same weakness; blocked on the file
-    name, candidates with score 0 dropped, of equals the smaller row."""
+    """The best-scoring witness of each finding: same place and weakness, same place, same weakness in a file of the same
+    name; of equals the smaller row. No pairs: the least witness of each place and weakness is joined, three times."""
     rows = findings(spark, d).withColumn("base", joins.basename(F.col("path")))
-    e = rows.where("tool = 'fuzzlantern' and cwe is not null").select(F.col("row_id").alias("w"), F.col("path").alias("e_path"), F.col("cwe").alias("e_cwe"), "base")
-    t = rows.where("tool = 'scanline'").select("row_id", "path", "cwe", "base")
-    place, same = F.col("path") == F.col("e_path"), F.coalesce(F.col("cwe") == F.col("e_cwe"), F.lit(False))
-    score = F.when(place & same, 7).when(place, 4).when(same, 2).otherwise(0).alias("score")
-    pairs = t.join(e, "base").select("row_id", F.col("w").alias("witness"), score).where("score > 0")
-    return joins.best_scored(pairs, "row_id", [F.col("score"), -F.col("witness")], ["witness", "score"])
+    e = rows.where("tool = 'fuzzlantern' and cwe is not null").groupBy("path", "base", "cwe").agg(F.min("row_id").alias("w"))
+    out = rows.where("tool = 'scanline'").select("row_id", "path", "cwe", "base")
+    choices = []
+    for score, keys in ((7, ["path", "cwe"]), (4, ["path"]), (2, ["base", "cwe"])):
+        out = out.join(e.groupBy(*keys).agg(F.min("w").alias(f"w{score}")), keys, "left")
+        choices.append(F.when(F.col(f"w{score}").isNotNull(), F.struct(F.col(f"w{score}").alias("witness"), F.lit(score).alias("score"))))
+    return out.select("row_id", F.coalesce(*choices).alias("m")).where("m is not null").select("row_id", "m.witness", "m.score")
 
 
 @query(""", c AS (SELECT repo_url, path, count(DISTINCT tool) AS n_tools, count(DISTINCT cwe) AS n_cwes FROM f GROUP BY 1, 2) SELECT repo_url, count(*) AS n_files, count(*) FILTER (n_tools = 1) AS n_single, round(avg(n_tools), 6) AS mean_tools FROM c GROUP BY 1""")

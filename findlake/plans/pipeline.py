@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findlake.operators import drift, nested, orphans, packed
-from findlake.session import table
+from findlake.session import table, written
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -90,4 +90,11 @@ def p4_unified(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified(table(spark, d, "raw_record"))
 
 
-QUERIES |= {"p4_found": p4_found, "p4_unified": p4_unified}
+def p4_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of the one table per feed, with their types."""
+    rows = drift.fields(table(spark, d, "raw_record"))
+    kinds = written(drift.column_types(rows), "profiles")
+    return drift.unified_columns(kinds, drift.lineage(kinds, drift.drift_report(table(spark, d, "raw_record"))))
+
+
+QUERIES |= {"p4_found": p4_found, "p4_unified": p4_unified, "p4_columns": p4_columns}

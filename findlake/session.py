@@ -11,8 +11,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only after it was counted to hold at most so many rows.
-BROADCAST_ROWS = 100_000
+#: A side is broadcast only if it was measured to hold at most so many rows and bytes (in memory, estimated).
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
 def local_session(cores: int | str = 8, shuffle: int = 8, memory: str = "8g") -> SparkSession:
@@ -58,9 +58,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset a temporary one, in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), "findlake-checkpoints")
         os.makedirs(folder, exist_ok=True)
         spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
@@ -78,11 +80,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it is counted to hold at most `rows` rows, else as it is (a shuffled join).
-
-    The count stops after rows + 1 rows, so it costs little on a large side."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df, written, and marked for broadcast if it is measured to hold at most `rows` rows and `size` bytes; else as it is
+    (a shuffled join).
+
+    The plan runs once: what is written is counted, measured and read. The size is that of the longest row times the rows
+    for a table that is small on disk; no table whose files alone exceed the size is looked at."""
+    jvm = df.sparkSession._jvm
+    if not _plain_scan(df):
+        df = written(df, "bounded")
+    on_disk = 0
+    for f in df.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        on_disk += path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+        if on_disk > size:
+            return df
+    n, widest = df.agg(F.count("*"), F.max(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))).first()
+    return F.broadcast(df) if n <= rows and n * (widest or 0) <= size else df
+
+
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether df is a table of files as it is, without anything on top."""
+    return df._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "LogicalRelation"
 
 
 def validate_query(spark: SparkSession, sql: str) -> str:

@@ -5,6 +5,7 @@ count twice go through foreachBatch with the batch id as part of what is written
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,26 +37,43 @@ def once_each(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def plateau_stream(events: DataFrame, seconds: int, new_type: str = "signup") -> DataFrame:
-    """user_id, at: one row when a user has gone `seconds` of event time without a new_type event."""
-    state_schema = "last double, told boolean"
+def plateau_stream(events: DataFrame, seconds: int, new_type: str = "signup", late: str = "1 day") -> DataFrame:
+    """user_id, at: the moment at which a user has gone `seconds` of event time without a new_type event, once per spell.
+
+    A spell begins with a new_type event and ends with the next one. It is told as soon as it is known to have lasted
+    `seconds`: by any later event of the user or, for a silent user, by the watermark (event-time timeout). Events may come
+    in any order within `late` and may be sent again: a spell is known by its beginning and never told twice; one that is
+    told is not taken back by an event that comes late. State: the beginnings since the watermark and the last one before
+    it; it ends when the watermark has passed a told spell and nothing is newer. Null users, times and types don't count."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, told = state.get if state.exists else (None, False)
-        out = []
-        rows = pd.concat(list(batches), ignore_index=True)
-        if len(rows):
-            for ts, kind in rows.sort_values("ts")[["ts", "event_type"]].itertuples(index=False):
+        kept = json.loads(state.get[0]) if state.exists else {"told": {}, "newest": None}
+        told, newest = {float(k): v for k, v in kept["told"].items()}, kept["newest"]
+        for pdf in batches:
+            for ts, kind in pdf[["ts", "event_type"]].itertuples(index=False):
                 t = ts.timestamp()
+                newest = t if newest is None else max(newest, t)
                 if kind == new_type:
-                    last, told = t, False
-                elif last is not None and t - last >= seconds and not told:
-                    told = True
-                    out.append((key[0], ts))
-        state.update((last, told))
-        yield pd.DataFrame(out, columns=["user_id", "at"]) if out else pd.DataFrame({"user_id": pd.Series(dtype="int64"), "at": pd.Series(dtype="datetime64[ns]")})
-
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, at timestamp", state_schema, "append", GroupStateTimeout.NoTimeout)
+                    told.setdefault(t, False)
+        mark = state.getCurrentWatermarkMs() / 1000
+        begins, out = sorted(told), []
+        for begin, end in zip(begins, [*begins[1:], max(newest if newest is not None else mark, mark)]):
+            if end - begin >= seconds and not told[begin]:
+                told[begin] = True
+                out.append((key[0], pd.Timestamp(begin + seconds, unit="s")))
+        passed = [t for t in begins if t < mark]
+        for begin in passed[:-1]:  # behind the watermark only the last one can still go on
+            del told[begin]
+        if all(told.values()) and (newest is None or newest < mark):
+            state.remove()
+        else:
+            state.update((json.dumps({"told": told, "newest": newest}),))
+            open_ones = [t + seconds for t, done in told.items() if not done]
+            state.setTimeoutTimestamp(int(max(min(open_ones, default=newest), mark) * 1000) + 1)
+        yield pd.DataFrame({"user_id": pd.Series([u for u, _ in out], dtype="int64"), "at": pd.Series([t for _, t in out], dtype="datetime64[ns]")})
+
+    usable = events.where("user_id is not null and ts is not null and event_type is not null").withWatermark("ts", late)
+    return usable.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, at timestamp", "kept string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def append_log(df: DataFrame, path: str, checkpoint: str, fmt: str = "json") -> StreamingQuery:

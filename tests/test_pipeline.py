@@ -82,7 +82,7 @@ def test_nested_children_match_brute_force(spark):
             if rnd.random() < 0.5:
                 rows.append((f"O{k}", form, "clash"))
         rows.append((f"O{k}", text[: len(text) // 2], "clash"))
-        if any(r[0] == f"O{k}" and nested.read_record(r[1], "id") for r in rows):
+        if any(r[0] == f"O{k}" and nested.read_records(r[1], "id") for r in rows):
             want |= brute_children(f"O{k}", record)
     rows += [("N", None, "x"), ("N", "", "x"), ("N", "[]", "x"), ("N", "NaN", "x"), (None, "{}", "x")]
     df = spark.createDataFrame(rows, "osv_id string, json string, value string")
@@ -91,6 +91,26 @@ def test_nested_children_match_brute_force(spark):
     assert rows_of(nested.advisory_children(nested.advisory_triples(df.limit(0)))) == []
 
 
+def test_wrappers_of_any_kind(spark):
+    text = json.dumps({"id": "A", "aliases": ["x"]})
+    for _ in range(12):  # JSON in a JSON string in a one-key object, twelve times over
+        text = json.dumps({"data": json.dumps(json.loads(text))})
+    assert nested.read_records(text, "id") == [{"id": "A", "aliases": ["x"]}]
+    two = json.dumps([{"id": "A", "n": 1.50}, None, {"meta": {"n": 1}, "one": {"id": "B"}, "more": [{"id": "C"}]}])
+    assert [r["id"] for r in nested.read_records(two, "id")] == ["A", "B", "C"]
+    assert nested.read_records('{"id": "A", "n": 1.50}', "id") == [{"id": "A", "n": "1.50"}]
+    deep = '{"id": "D", "x": ' + "[" * 100_000 + '{"y": -1.5e3}' + "]" * 100_000 + ', "aliases": ["a"]}'
+    got = list(nested.triples(nested.read_records(deep, "id")[0], frozenset(["aliases"])))
+    assert {(x[3], x[5]) for x in got} == {("id", "D"), ("y", "-1.5e3"), ("", "a")}
+    for bad in ("[1", "[1,]", "{,}", '{"a" 1}', "[}", "1 2", "", "[NaN]", "{1:2}", "]", '{"a":1,}', "01", '"a\nb"'):
+        with pytest.raises(ValueError):
+            nested.decode_deep(bad)
+    for good in ("[]", "{}", "[[], {}]", '{"a": [true, false, null, -0.5e+3, "\\u00e9"], "b": {"c": {}}}', " 7 "):
+        assert nested.decode_deep(good) == nested._DECODER.decode(good.strip())
+    df = spark.createDataFrame([(1, two), (2, "[1"), (3, None), (4, "{}")], "k int, json string")
+    assert sorted(r.k for r in nested.unreadable(df, "json", "id").collect()) == [2, 3, 4]
+
+
 def test_nested_tables_keep_parents(spark):
     record = {"id": "A", "affected": [None, {"package": {"ecosystem": "npm", "name": "x"}, "ranges": [{"type": "GIT", "repo": "r", "events": [{"introduced": "0"}, {"fixed": "1"}]}]}]}
     df = spark.createDataFrame([("A", json.dumps(record))] * 2, "osv_id string, json string")
@@ -120,6 +140,55 @@ def test_drift_report(spark):
     assert rows_of(drift.drift_report(df.limit(0))) == []
 
 
+def test_unified_columns_of_names_that_come_again(spark):
+    def record(k, **fields):
+        return json.dumps({"finding_id": f"F{k}", **fields})
+
+    def rename(n):  # a -> b, then a comes back with other values, then b -> c
+        return [
+            [record(k, a=f"v{k}", n=k, flag=k % 2 == 0, box={"q": [k]}) for k in range(12)],
+            [record(k, b=f"v{k}", n=str(k), flag=int(k % 2 == 0), box=json.dumps({"q": [k]})) for k in range(12)],
+            [record(k, b=f"v{k}", a=f"w{k * 7}", n=k if k else "no number", flag=k % 2 == 0, box={"q": [k]}) for k in range(12)],
+            [record(k, c=f"v{k}", a=f"w{k * 7}", n=k, flag=k % 2 == 0, box={"q": [k]}) for k in range(12)],
+        ][n]
+
+    rows = [("f", f"file{n}", day(n), i, b, "clash") for n in range(4) for i, b in enumerate(rename(n) * 2)]
+    df = spark.createDataFrame(rows + [("f", "file0", day(0), 0, rename(0)[3], "clash")], "feed string, file_name string, written_at timestamp_ntz, line_no int, body string, record string")
+    got = drift.unified(df).collect()
+    by = {(r.file_name, r.line_no, r.record): (json.loads(r.fields), r.written) for r in got}
+    for n in range(4):
+        for k in range(12):
+            fields, lost = by[f"file{n}", k, f"F{k}"]
+            assert fields["a"] == f"v{k}" and fields["flag"] is (k % 2 == 0) and fields["box"] == {"q": [k]}
+            assert fields.get("a@file2") == (f"w{k * 7}" if n > 1 else None)
+            assert (fields["n"], lost) == ((k, None) if (n, k) != (2, 0) else (None, '{"n":"no number"}'))
+    columns = {r.column_name: r.type for r in drift.unified_columns(*lineage_of(df)).collect()}
+    assert columns == {"a": "string", "a@file2": "string", "n": "number", "flag": "boolean", "box": "object"}
+    table = drift.typed(drift.unified(df), drift.unified_columns(*lineage_of(df)), "f")
+    assert dict(table.dtypes)["n"] == "double" and dict(table.dtypes)["flag"] == "boolean" and table.where("file_name = 'file1' and line_no = 5").first()["n"] == 5.0
+    assert drift.unified(df.limit(0)).collect() == []
+
+
+def lineage_of(df):
+    kinds = drift.column_types(drift.fields(df))
+    return kinds, drift.lineage(kinds, drift.drift_report(df))
+
+
+def test_lineage_of_swaps_and_chains():
+    import pandas as pd
+
+    def run(*files):
+        pdf = pd.DataFrame([{"feed": "f", "file_name": f"x{n}", "ord": n, "fields": p, "renames": [{"field_name": a, "new_name": b} for a, b in r] or None} for n, (p, r) in enumerate(files)])
+        return {(r.file_name, r.field): r.column_name for r in drift._lineage(pdf).itertuples()}
+
+    assert run((["a", "b"], []), (["a", "b"], [("a", "b"), ("b", "a")]))["x1", "a"] == "b"  # a swap
+    chain = run((["a"], []), (["b"], [("a", "b")]), (["c"], [("b", "c")]), (["c", "b", "a"], []), (["d", "b"], [("c", "d")]))
+    assert chain["x2", "c"] == "a" and chain["x3", "b"] == "b" and chain["x3", "a"] == "a@x3" and chain["x4", "d"] == "a" and chain["x4", "b"] == "b"
+    back = run((["a"], []), (["z"], []), (["a", "z"], []))
+    assert back["x2", "a"] == "a"  # a field that was left out of a file
+    assert len(set(run((["a"], []), (["b"], [("a", "b")]), (["a", "b"], []), (["a", "c"], [("b", "c")])).values())) == 2
+
+
 def test_matching_is_maximal():
     rnd = random.Random(2)
     from itertools import permutations
