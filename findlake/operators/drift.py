@@ -77,20 +77,21 @@ def fields(raw: DataFrame, record_keys: tuple[str, ...] = RECORD_KEYS) -> DataFr
     """feed, file_name, written_at, line_no, record, field, type, _v: a row per top-level field of each whole line."""
     lines = raw.select("feed", "file_name", "written_at", "line_no", F.try_parse_json("body").alias("v"))
     key = F.coalesce(*[F.try_variant_get("v", f"$['{k}']", "string") for k in record_keys])
-    keyed = lines.where(F.schema_of_variant("v").startswith("OBJECT")).withColumn("record", key)
+    keyed = lines.withColumn("record", key)  # what is no object has no keys, so it drops out below without being parsed twice
     exploded = keyed.lateralJoin(keyed.sparkSession.tvf.variant_explode(F.col("v").outer()))
-    return exploded.where(~F.col("key").isin(*record_keys)).select("feed", "file_name", "written_at", "line_no", "record", F.col("key").alias("field"), _type(F.col("value")).alias("type"), F.col("value").alias("_v"))
+    return exploded.where(F.col("key").isNotNull() & ~F.col("key").isin(*record_keys)).select("feed", "file_name", "written_at", "line_no", "record", F.col("key").alias("field"), _type(F.col("value")).alias("type"), F.col("value").alias("_v"))
 
 
-def with_content(rows: DataFrame) -> DataFrame:
-    """rows of `fields` with content in place of _v."""
+def with_content(rows: DataFrame, asked: Column) -> DataFrame:
+    """rows of `fields` with content in place of _v; rows for which `asked` isn't true have none."""
     plain = F.when(F.col("type") == "string", F.try_variant_get("_v", "$", "string"))
     text = F.when(F.col("type").isNull(), None).otherwise(F.to_json("_v"))
-    rows = rows.select("feed", "file_name", "record", "field", "type", text.alias("text"), plain.alias("plain"))
+    rows = rows.select("feed", "file_name", "record", "field", "type", text.alias("text"), plain.alias("plain"), asked.alias("asked"))
     inner = F.when(F.col("plain").rlike(r"^\s*[\[{]"), F.to_json(F.try_parse_json("plain")))
     simple = F.coalesce("plain", F.when(~F.col("type").isin("array", "object"), F.col("text")))
     nested = simple.isNull() | simple.rlike(r'[\[\]{},"\\]')
-    return rows.select("feed", "file_name", "record", "field", F.when(nested, content(F.coalesce(inner, F.col("text")))).otherwise(scalar(simple)).alias("content"))
+    value = F.when(nested, content(F.coalesce(inner, F.col("text")))).otherwise(scalar(simple))
+    return rows.select("feed", "file_name", "record", "field", F.when(F.col("asked"), value).alias("content"))
 
 
 def column_types(rows: DataFrame) -> DataFrame:
@@ -113,8 +114,9 @@ def sketches(rows: DataFrame, kinds: DataFrame, pairs: DataFrame, k: int = K) ->
     seen = sides.join(kinds.select("feed", "file_name", "field"), ["feed", "file_name"]).groupBy("feed", "to_file", "field").agg(F.count("*").alias("n"), F.max("side").alias("side"), F.max("file_name").alias("file_name"))
     lone = seen.where("n = 1").select("feed", "to_file", "field", "side", "file_name")
     both = lone.groupBy("feed", "to_file").agg(F.countDistinct("side").alias("sides")).where("sides = 2").select("feed", "to_file")
-    wanted = lone.join(both, ["feed", "to_file"], "left_semi").select("feed", "file_name", "field").distinct()
-    values = with_content(rows.where("record is not null").join(bounded(wanted), ["feed", "file_name", "field"], "left_semi")).where("content is not null")
+    wanted = lone.join(both, ["feed", "to_file"], "left_semi").groupBy("feed", "file_name", "field").agg(F.max("side").alias("side"))
+    # a condition on both sides of the join, so that content isn't worked out below it for every column of the table
+    values = with_content(rows.where("record is not null").join(bounded(wanted), ["feed", "file_name", "field"]), F.col("side") >= 0).where("content is not null")
     values = values.select("feed", "file_name", "field", F.xxhash64("record").alias("r"), "content")
     smallest = Window.partitionBy("feed", "file_name", "field").orderBy("r", "content")
     entry = F.struct("r", F.xxhash64("content").alias("c"), F.regexp_extract("content", r"^\d+\.0$", 0).try_cast("double").alias("num"))
