@@ -253,10 +253,11 @@ def inconsistent_packages(spark: SparkSession, d: str) -> DataFrame:
     return g.where("n_spellings > 1 and n_advisories > 1")
 
 
-@query("""WITH x AS (SELECT DISTINCT hash FROM fixes), c AS (SELECT DISTINCT hash, repo_url FROM commits) SELECT repo_url, count(*) FILTER (x.hash IS NOT NULL) AS verified, count(*) FILTER (x.hash IS NULL) AS unattempted FROM c LEFT JOIN x USING (hash) GROUP BY 1""", False)
+@query("""WITH k AS (SELECT DISTINCT regexp_replace(regexp_replace(lower(hash), '^.*/', ''), '[^0-9a-z]+', '', 'g') AS k FROM fixes), c AS (SELECT DISTINCT hash, repo_url FROM commits),
+  x AS (SELECT DISTINCT c.hash FROM c JOIN k ON length(k) >= 12 AND substr(k, 1, 12) = substr(c.hash, 1, 12) AND starts_with(c.hash, k)) SELECT repo_url, count(*) FILTER (x.hash IS NOT NULL) AS verified, count(*) FILTER (x.hash IS NULL) AS unattempted FROM c LEFT JOIN x USING (hash) GROUP BY 1""", False)
 def environment_summary(spark: SparkSession, d: str) -> DataFrame:
     """Commits per repository that a fix has verified, and the rest. Fixes are read in any spelling and length of their
-    hash; the SQL takes them as written."""
+    hash."""
     c = table(spark, d, "commits").select("hash", "repo_url").distinct()
     fixed = orphans.resolved(table(spark, d, "fixes").select(orphans.hash_key(F.col("hash")).alias("key")), c.select(F.col("hash").alias("key")))
     x = fixed.select(F.col("whole").alias("hash")).distinct().withColumn("v", F.lit(True))

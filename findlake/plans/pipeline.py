@@ -74,6 +74,27 @@ ORACLES: dict[str, str] = {
        CASE WHEN ever = 0 THEN 'missing' WHEN before > 0 THEN 'deleted' ELSE 'late' END AS orphan_kind, count(*) AS n_orphans FROM s WHERE alive = 0 GROUP BY ALL""",
 }
 
+#: What each key's references and parents do at each time, and how many of its references are open then.
+ORACLES["p6_snapshots"] = _P6 + """, refs AS (SELECT 'fixes' AS source_table, k, recorded_at AS t FROM f WHERE k IS NOT NULL AND recorded_at IS NOT NULL UNION ALL SELECT 'cwe_classification', cve, classified_at FROM w WHERE cve IS NOT NULL AND classified_at IS NOT NULL),
+  rk AS (SELECT DISTINCT source_table, k FROM refs),
+  par AS (SELECT source_table, rk.k, c.ingested_at AS came, c.deleted_at AS gone FROM rk JOIN c ON source_table = 'fixes' AND substr(rk.k, 1, 12) = substr(c.k, 1, 12) AND starts_with(c.k, rk.k) WHERE ingested_at IS NOT NULL
+          UNION ALL SELECT source_table, rk.k, f.recorded_at, f.withdrawn_at FROM rk JOIN f ON source_table = 'cwe_classification' AND rk.k = f.cve WHERE f.recorded_at IS NOT NULL),
+  ev AS (SELECT source_table, k, t, 0 AS n, 1 AS r FROM refs UNION ALL SELECT source_table, k, came, 1, 0 FROM par WHERE gone IS NULL OR gone > came UNION ALL SELECT source_table, k, gone, -1, 0 FROM par WHERE gone > came),
+  ti AS (SELECT source_table, k, t, sum(n) AS n, sum(r) AS r FROM ev GROUP BY ALL),
+  st AS (SELECT source_table, k, t, CASE WHEN sum(n) OVER o <= 0 THEN sum(r) OVER o ELSE 0 END AS open_now FROM ti WINDOW o AS (PARTITION BY source_table, k ORDER BY t)),
+  ch AS (SELECT source_table, t, open_now - lag(open_now, 1, 0) OVER (PARTITION BY source_table, k ORDER BY t) AS d FROM st),
+  mo AS (SELECT source_table, strftime(t, '%Y-%m') AS month, sum(d) AS net, sum(greatest(d, 0)) AS opened, sum(greatest(-d, 0)) AS resolved FROM ch WHERE d <> 0 GROUP BY ALL)
+SELECT source_table, month, (sum(net) OVER (PARTITION BY source_table ORDER BY month))::bigint AS open_orphans, opened::bigint AS opened, resolved::bigint AS resolved FROM mo"""
+#: Values between quotes (quotes doubled or behind a backslash are part of them) or between delimiters.
+ORACLES["p3_found"] = r"""
+WITH b AS (SELECT commit_row, trim(parents, chr(32) || chr(9) || chr(10) || chr(13) || chr(160)) AS t FROM commits WHERE parents IS NOT NULL),
+     u AS (SELECT commit_row, CASE WHEN regexp_matches(t, '^(\[[\s\S]*\]|\([\s\S]*\)|\{[\s\S]*\})$') THEN t[2:-2] ELSE t END AS t FROM b WHERE lower(t) NOT IN ('NO_WORDS')),
+     v AS (SELECT commit_row, regexp_extract_all(t, '"(?:[^"\\]|\\[\s\S]|"")*"|''(?:[^''\\]|\\[\s\S]|'''')*''|[^,;|\s\x{A0}]+') AS vs FROM u WHERE lower(trim(t)) NOT IN ('NO_WORDS')),
+     x AS (SELECT commit_row, list_filter(list_transform(vs, lambda p: trim(CASE WHEN p[1] = '"' THEN replace(replace(replace(p[2:-2], '""', '"'), '\"', '"'), '\''', '''')
+                  WHEN p[1] = '''' THEN replace(replace(replace(p[2:-2], '''''', ''''), '\''', ''''), '\"', '"') ELSE p END)), lambda p: p NOT IN ('', '/', '+', '&')) AS vs FROM v)
+SELECT commit_row, unnest(generate_series(1, len(vs)))::int AS parent_no, unnest(vs) AS parent_hash FROM x
+""".replace("NO_WORDS", "', '".join(packed.NO_VALUES))
+
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.advisory_children(nested.advisory_triples(table(spark, d, "advisories")))

@@ -137,10 +137,9 @@ def wheel_tags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "advisories").select(name).distinct().select("filename", F.inline(text.wheel_tags(F.col("filename"))))
 
 
-@query(r"""WITH v AS (SELECT doc_id, regexp_extract(text, '(\d+(?:\.\d+)*)', 1) AS v FROM documents WHERE text IS NOT NULL AND length(text) < 2000 AND NOT regexp_matches(text, '\d{10,}')) SELECT doc_id, list_transform(string_split(v, '.'), lambda x: x::int) AS version FROM v WHERE v <> ''""")
+@query(r"""WITH v AS (SELECT doc_id, regexp_extract(text, '(\d+(?:\.\d+)*)', 1) AS v FROM documents WHERE text IS NOT NULL) SELECT doc_id, list_transform(string_split(v, '.'), lambda x: try_cast(x AS DECIMAL(38, 0))) AS version FROM v WHERE v <> ''""")
 def first_versions(spark: SparkSession, d: str) -> DataFrame:
-    """The first dotted number of each text as comparable integers. (The SQL leaves out texts of 2,000 characters or more
-    and texts with a run of ten digits.)"""
+    """The first dotted number of each text as comparable integers."""
     docs = table(spark, d, "documents").where("text is not null")
     return docs.select("doc_id", text.numeric_version(F.col("text")).alias("version")).where("version is not null")
 
@@ -324,7 +323,7 @@ def missing_siblings(spark: SparkSession, d: str) -> DataFrame:
 def display_titles(spark: SparkSession, d: str) -> DataFrame:
     """Kinds as titles."""
     plain = F.replace("kind", F.lit("_"), F.lit(" "))
-    return findings(spark, d).groupBy("tool", F.concat(F.upper(F.substring(plain, 1, 1)), F.substring(plain, 2, 1000)).alias("title")).agg(F.count("*").alias("n"))
+    return findings(spark, d).groupBy("tool", F.concat(F.upper(F.substring(plain, 1, 1)), F.substr(plain, F.lit(2))).alias("title")).agg(F.count("*").alias("n"))
 
 
 @query(None)
@@ -333,7 +332,7 @@ def near_names(spark: SparkSession, d: str) -> DataFrame:
 
     Two names that are one edit apart share a form with at most one character deleted, so the equality on such forms
     loses no pair, and no pairs are formed beyond it."""
-    names = table(spark, d, "advisories").select(F.lower("package").alias("name")).distinct().where(F.length("name").between(4, 40))
+    names = table(spark, d, "advisories").select(F.lower("package").alias("name")).distinct().where("name <> ''")
     name = F.col("name")
     cut = F.transform(F.sequence(F.lit(1), F.length(name)), lambda k: F.concat(name.substr(F.lit(1), k - 1), name.substr(k + 1, F.length(name))))
     forms = names.select("name", F.explode(F.array_union(F.array(name), cut)).alias("f")).distinct()

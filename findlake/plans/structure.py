@@ -37,7 +37,7 @@ def known_commits(spark: SparkSession, d: str) -> DataFrame:
 
 def parent_edges(spark: SparkSession, d: str) -> DataFrame:
     """src, dst: commit and parent. A shortened parent is the commit, or the whole hash given elsewhere, that it begins;
-    one that begins none stays as it is. The SQL of the queries on these edges has whole hashes only."""
+    one that begins none stays as it is."""
     values = packed.unpack(table(spark, d, "commits"), "hash", "parents")
     key = F.regexp_extract(F.lower("value"), rf"(?:^|:)([0-9a-f]{{{orphans.WIDTH},40}})$", 1)
     named = values.select(F.col("hash").alias("src"), key.alias("key")).where("key <> ''").distinct()
@@ -47,7 +47,11 @@ def parent_edges(spark: SparkSession, d: str) -> DataFrame:
     return whole.select("src", F.col("key").alias("dst")).unionByName(short.join(found, "key", "left").select("src", dst)).distinct()
 
 
-_E = r"e AS (SELECT DISTINCT hash AS src, unnest(regexp_extract_all(lower(parents), '(?:^|[^0-9a-f])([0-9a-f]{40})(?:$|[^0-9a-f])', 1)) AS dst FROM (SELECT hash, regexp_replace(parents, '([^0-9A-Za-z])', '\1\1', 'g') AS parents FROM commits))"
+#: Hex runs of 12 to 40 digits among the parents, each resolved to the known hashes it begins.
+_E = r"""e0 AS (SELECT DISTINCT hash AS src, unnest(regexp_extract_all(lower(parents), '(?:^|[^0-9a-z])([0-9a-f]{12,40})(?:$|[^0-9a-z])', 1)) AS k FROM (SELECT hash, regexp_replace(parents, '([^0-9A-Za-z])', '\1\1', 'g') AS parents FROM commits)),
+  kn AS (SELECT lower(hash) AS w FROM commits UNION SELECT k FROM e0 WHERE length(k) = 40),
+  e AS (SELECT src, k AS dst FROM e0 WHERE length(k) = 40 UNION SELECT src, coalesce(w, k) FROM e0 LEFT JOIN kn ON substr(k, 1, 12) = substr(w, 1, 12) AND starts_with(w, k) WHERE length(k) < 40)"""
+_FIX_KEY = "regexp_replace(regexp_replace(lower(hash), '^.*/', ''), '[^0-9a-z]+', '', 'g')"
 
 
 @query(f"WITH {_E} SELECT src, dst FROM e")
@@ -70,11 +74,12 @@ def unreached_commits(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "commits").select("repo_url", "hash").distinct().join(reached, "hash", "left_anti").groupBy("repo_url").agg(F.countDistinct("hash").alias("n"))
 
 
-@query(f"""WITH RECURSIVE {_E}, t AS (SELECT DISTINCT hash AS node FROM commits WHERE deleted_at IS NOT NULL), f AS (SELECT DISTINCT regexp_extract(lower(hash), '([0-9a-f]{{40}})', 1) AS node FROM fixes WHERE withdrawn_at IS NOT NULL AND regexp_matches(lower(hash), '[0-9a-f]{{40}}')),
+@query(f"""WITH RECURSIVE {_E}, t AS (SELECT DISTINCT hash AS node FROM commits WHERE deleted_at IS NOT NULL), fk AS (SELECT DISTINCT {_FIX_KEY} AS k FROM fixes WHERE withdrawn_at IS NOT NULL),
+  f AS (SELECT DISTINCT coalesce(w, k) AS node FROM fk LEFT JOIN (SELECT w FROM kn UNION SELECT dst FROM e) q ON length(k) >= 12 AND substr(k, 1, 12) = substr(w, 1, 12) AND starts_with(w, k) WHERE k <> ''),
   ct AS (SELECT src AS node FROM e JOIN t ON e.dst = t.node UNION SELECT src FROM e JOIN ct ON e.dst = ct.node), cf AS (SELECT node FROM f UNION SELECT src FROM e JOIN cf ON e.dst = cf.node)
 SELECT node FROM ct WHERE node NOT IN (SELECT node FROM cf) AND node NOT IN (SELECT node FROM t)""")
 def bypassing_commits(spark: SparkSession, d: str) -> DataFrame:
-    """Descendants of deleted commits that do not descend from a withdrawn fix (in the SQL: from one with a whole hash)."""
+    """Descendants of deleted commits that do not descend from a withdrawn fix."""
     target = table(spark, d, "commits").where("deleted_at is not null").select(F.col("hash").alias("node")).distinct()
     edges = parent_edges(spark, d)
     fixes = table(spark, d, "fixes").where("withdrawn_at is not null").select(orphans.hash_key(F.col("hash")).alias("key")).where("key is not null").distinct()
@@ -152,13 +157,13 @@ def _flow(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.inline(arcs)).select("doc_id", "src", "dst")
 
 
-@query(r"""WITH x AS (SELECT DISTINCT upper(regexp_replace(cve_id, '[^0-9A-Za-z]+', '', 'g')) AS k, regexp_replace(regexp_replace(lower(hash), '^.*/', ''), '[^0-9a-z]+', '', 'g') AS h FROM fixes), c AS (SELECT DISTINCT hash, repo_url FROM commits),
-  w AS (SELECT DISTINCT upper(regexp_replace(cve_id, '[^0-9A-Za-z]+', '', 'g')) AS k, cwe_id FROM cwe_classification WHERE cwe_id IN ('CWE-78', 'CWE-79', 'CWE-89'))
-SELECT DISTINCT x.k AS cve, x.h AS hash, w.cwe_id, r.repo_language FROM x JOIN c ON x.h = c.hash JOIN w USING (k) JOIN repository r ON c.repo_url = r.repo_url WHERE r.repo_language IN ('C', 'Java', 'Python') AND k <> ''""")
+@query(rf"""WITH x AS (SELECT DISTINCT upper(regexp_replace(cve_id, '[^0-9A-Za-z]+', '', 'g')) AS k, {_FIX_KEY} AS h FROM fixes), c AS (SELECT DISTINCT hash, repo_url FROM commits),
+  w AS (SELECT DISTINCT upper(regexp_replace(cve_id, '[^0-9A-Za-z]+', '', 'g')) AS k, 'CWE-' || ltrim(regexp_extract(cwe_id, '(\d+)', 1), '0') AS cwe_id FROM cwe_classification)
+SELECT DISTINCT x.k AS cve, c.hash, w.cwe_id, r.repo_language FROM x JOIN c ON length(h) >= 12 AND substr(h, 1, 12) = substr(c.hash, 1, 12) AND starts_with(c.hash, h) JOIN w USING (k) JOIN repository r ON c.repo_url = r.repo_url
+WHERE r.repo_language IN ('C', 'Java', 'Python') AND w.cwe_id IN ('CWE-78', 'CWE-79', 'CWE-89') AND k <> ''""")
 def fix_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Fixes with their commit, weakness and language: keys are made distinct before the joins, so a CVE with many
-    repeated rows doesn't multiply. Shortened hashes are the commits they begin, weaknesses are read in any spelling;
-    the SQL takes both in full only."""
+    repeated rows doesn't multiply. Shortened hashes are the commits they begin, weaknesses are read in any spelling."""
     x = table(spark, d, "fixes").select(orphans.cve_key(F.col("cve_id")).alias("cve"), orphans.hash_key(F.col("hash")).alias("hash")).distinct()
     c = table(spark, d, "commits").select("hash", "repo_url").distinct()
     named = table(spark, d, "cwe_classification").select(orphans.cve_key(F.col("cve_id")).alias("cve"), cwe_name(F.col("cwe_id")).alias("cwe_id"))
@@ -214,10 +219,9 @@ def coverage_delta(spark: SparkSession, d: str) -> DataFrame:
     return intervals.delta(m.where(old), m.where(~old), ["file"])
 
 
-@query(_M + ", t AS (SELECT path AS file, max(line) AS total FROM f WHERE line IS NOT NULL AND line % 2 = 0 GROUP BY 1), u AS (SELECT file, count(DISTINCT x) AS n_lines FROM l GROUP BY 1) SELECT file, n_lines, round(coalesce(100.0 * n_lines / nullif(total, 0), 0), 4) AS percent FROM u LEFT JOIN t USING (file)", True)
+@query(_M + ", t AS (SELECT path AS file, max(line) AS total FROM f WHERE line IS NOT NULL GROUP BY 1), u AS (SELECT file, count(DISTINCT x) AS n_lines FROM l GROUP BY 1) SELECT file, n_lines, round(coalesce(100.0 * n_lines / nullif(total, 0), 0), 4) AS percent FROM u LEFT JOIN t USING (file)", True)
 def coverage_percent(spark: SparkSession, d: str) -> DataFrame:
-    """Share of the lines of each file that any tool has covered; 0 where the total is unknown. (The SQL's
-    total is the greatest even line only.)"""
+    """Share of the lines of each file that any tool has covered; 0 where the total is unknown."""
     totals = findings(spark, d).where("line is not null").groupBy(F.col("path").alias("file")).agg(F.max("line").alias("total"))
     return intervals.percent(marks(spark, d), totals, ["file"])
 
