@@ -29,6 +29,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -182,6 +183,20 @@ BREAKS = dict.fromkeys(_STOP, 1) | {"\n": 2, "...": 3}
 PLAIN, SHAPED, NUMBER, WORD = range(4)
 
 
+class Pieces(dict):
+    """What stands between two blanks to the numbers of its tokens; long pieces are not remembered."""
+
+    def __init__(self, vocabulary: dict) -> None:
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        numbers = tuple(map(self.vocabulary.__getitem__, _found(piece + " ")))
+        if len(piece) <= 48:
+            self[piece] = numbers
+        return numbers
+
+
 class Vocabulary(dict):
     """Token text to number; `table` gives, by number, the hash of the token's shape, the hash of the word (0 for signs
     and line ends), the break it is (see BREAKS) and its look."""
@@ -189,6 +204,7 @@ class Vocabulary(dict):
     def __init__(self, words: frozenset[str] | set[str]) -> None:
         super().__init__()
         self.shapes = Shapes(words)
+        self.pieces = Pieces(self)
         self.rows: list[tuple[int, int, int, int]] = []
         self.line = self["\n"]
 
@@ -200,10 +216,19 @@ class Vocabulary(dict):
         number = self[value] = len(self.rows) - 1
         return number
 
+    def numbers(self, text: str) -> list[int]:
+        """The numbers of the tokens of a text. No token holds a blank, so texts are read from blank to blank, and what was
+        read before is remembered."""
+        pieces = text.split(" ")
+        out = list(chain.from_iterable(map(self.pieces.__getitem__, pieces[:-1])))
+        out += map(self.__getitem__, _found(pieces[-1]))
+        return out
+
     def forget(self) -> None:
         """Start anew; only between batches, as the numbers change."""
-        if len(self) > REMEMBERED:
+        if len(self) > REMEMBERED or len(self.pieces) > REMEMBERED:
             self.clear()
+            self.pieces.clear()
             self.shapes.clear()
             self.rows.clear()
             self.line = self["\n"]
@@ -312,7 +337,7 @@ def _read_batch(doc_ids: list, texts: list, sources: list, vocabulary: Vocabular
     pad = [vocabulary.line] * 3
     for text in texts:
         core, cut, end = closing(plain(text))
-        numbers = list(map(vocabulary.__getitem__, _found(core)))
+        numbers = vocabulary.numbers(core)
         flat += pad
         flat += numbers
         lengths.append(len(numbers) + 3)
