@@ -23,7 +23,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CAPACITY = 2048
@@ -110,3 +110,16 @@ def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         F.countDistinct("container_id").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"),
         (1 - F.sum("n_tokens") / (F.countDistinct("container_id") * capacity)).alias("unused_share"),
     )
+
+
+def audit(packed: DataFrame, docs: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
+    """n_documents, n_missing, n_over_capacity, n_overlapping, n_split_needlessly: what a packing must keep. Documents
+    without a place, containers above their capacity, pieces that don't begin where the one before ends, and documents in
+    more pieces than their length needs; all but the first are 0 in a right packing."""
+    pieces = packed.groupBy(key).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"))
+    missing = docs.select(key).where(F.col(key).isNotNull()).distinct().join(pieces.select(key), key, "left_anti").agg(F.count("*").alias("n_missing"))
+    needless = pieces.agg(F.count("*").alias("n_documents"), F.count_if(F.col("n") > F.greatest(F.ceil(F.col("t") / capacity), F.lit(1))).alias("n_split_needlessly"))
+    before = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("container_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = packed.withColumn("gap", F.col("start_token") != before).groupBy("container_id").agg(F.sum("n_tokens").alias("t"), F.count_if("gap").alias("gaps"))
+    rooms = places.agg(F.count_if(F.col("t") > capacity).alias("n_over_capacity"), F.coalesce(F.sum("gaps"), F.lit(0)).alias("n_overlapping"))
+    return needless.crossJoin(missing).crossJoin(rooms)  # one row each

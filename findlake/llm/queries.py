@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findlake.llm import bpe, packing, radix, truncation, truth
-from findlake.session import table
+from findlake.session import table, written
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,6 +45,13 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p8_packed(spark, d))
 
 
+def p8_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the packing keeps every document, every capacity and every place."""
+    docs = table(spark, d, "documents")
+    packed = written(packing.pack(bpe.count_tokens(docs), "doc_id", n_items=docs.count()), "packed")
+    return packing.audit(packed, docs, "doc_id")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated(table(spark, d, "documents")).select("doc_id")
 
@@ -66,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
     "p8_packed": p8_packed,
     "p8_fill": p8_fill,
+    "p8_audit": p8_audit,
     "p9_found": p9_found,
     "p9_report": p9_report,
     "p9_parts": p9_parts,
@@ -98,4 +106,5 @@ WITH k AS (SELECT finding_row, {", ".join(_CANON(c) + f" AS k{i}" for i, c in en
 SELECT first_row, finding_row AS copy_row FROM g WHERE first_row <> finding_row
 """
 _P5_COUNTS = _P5.rsplit("SELECT", 1)[0] + "SELECT first_row, count(*) AS n_copies FROM g GROUP BY first_row"
-ORACLES: dict[str, str] = {"p1_found": _P1, "p5_found": _P5, "p5_counts": _P5_COUNTS}
+_P8 = "SELECT count(*) AS n_documents, 0 AS n_missing, 0 AS n_over_capacity, 0 AS n_overlapping, 0 AS n_split_needlessly FROM documents WHERE doc_id IS NOT NULL"
+ORACLES: dict[str, str] = {"p1_found": _P1, "p5_found": _P5, "p5_counts": _P5_COUNTS, "p8_audit": _P8}

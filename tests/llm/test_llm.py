@@ -96,6 +96,42 @@ def test_truth_discovery_finds_the_liar(spark):
     assert t["good"] > t["fair"] > t["liar"]
 
 
+@pytest.mark.parametrize("n", [1, 3])
+def test_held_reliabilities_are_the_fixed_point(spark, n):
+    """The loop with reliabilities held at their priors gives the required rows, whether it may run one round or three."""
+    rows = random_reports(4, 120)
+    claims = truth.survivor_claims(truth.candidates(frame(spark, rows)))
+    prior = spark.createDataFrame([("m1", 0.9), ("m2", 0.4)], "source string, reliability double")
+    winners, trust = truth.truth_discovery(claims, prior, anchored=True, max_iter=n)
+    many = Counter(r["finding_id"] for r in rows if r["finding_id"] and (r["status"] or "").strip().lower() != "error")
+    got = sorted((r.object, r.field, r.row) for r in winners.collect() if many[r.object] > 1)
+    assert got == brute_survivors(rows, {"m1": 0.9, "m2": 0.4}) and got
+    assert {r.source: r.reliability for r in trust.collect() if r.source in ("m1", "m2")} == {"m1": 0.9, "m2": 0.4}
+
+
+def test_survivors_of_planted_truth(spark):
+    """Models of known accuracy report findings of known severity; the loop must find the severities and order the models."""
+    rnd = random.Random(13)
+    names = ["critical", "high", "medium", "low"]
+    accuracy = {"a": 0.95, "b": 0.8, "c": 0.6, "d": 0.3}
+    right = {f"f{k}": rnd.choice(names) for k in range(300)}
+    rows = []
+    for fid, sev in right.items():
+        for m, acc in accuracy.items():
+            said = sev if rnd.random() < acc else rnd.choice([x for x in names if x != sev])
+            rows.append({"finding_row": len(rows), "finding_id": fid, "model": m, "severity": said.upper(), "status": "confirmed"})
+    claims = truth.survivor_claims(truth.candidates(frame(spark, rows))).where("field = 'severity'")
+    winners, trust = truth.truth_discovery(claims, spark.createDataFrame([], "source string, reliability double"))
+    found = {r.object: r.value for r in winners.collect()}
+    plain = Counter()
+    for fid in right:
+        votes = Counter(r["severity"].lower() for r in rows if r["finding_id"] == fid)
+        plain[max(votes, key=lambda v: (votes[v], v)) == right[fid]] += 1  # ties by name, as no model is known to be better
+    share = sum(found[f] == s for f, s in right.items()) / len(right)
+    t = {r.source: r.reliability for r in trust.collect()}
+    assert share >= 0.9 and share > plain[True] / len(right) and t["a"] > t["b"] > t["c"] > t["d"]
+
+
 # --- p5: radix partitioning and tries
 
 
@@ -244,6 +280,16 @@ def test_packing_does_not_depend_on_row_order(spark):
     assert packed[0] == packed[1]
 
 
+def test_audit_of_packings(spark):
+    rows = [(k, (k * 37) % 3000) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, n_tokens int")
+    packed = packing.pack(docs, "doc_id")
+    assert [tuple(r) for r in packing.audit(packed, docs, "doc_id").select("n_documents", "n_missing", "n_over_capacity", "n_overlapping", "n_split_needlessly").collect()] == [(300, 0, 0, 0, 0)]
+    bad = packed.where("doc_id <> 7").withColumn("n_tokens", F.when(F.col("place") == 1, 2049).otherwise(F.col("n_tokens")))
+    r = packing.audit(bad, docs, "doc_id").first()
+    assert r.n_missing == 1 and r.n_over_capacity > 0 and r.n_overlapping > 0
+
+
 def test_packing_of_nothing(spark):
     assert rows_of(packing.pack(spark.createDataFrame([], "doc_id long, n_tokens int"), "doc_id")) == []
 
@@ -395,6 +441,15 @@ def test_closing_puts_marks_and_footers_aside():
     assert Counter(truncation.tokens("took=12ms a_b_c 1.2.3", truncation.Shapes({"took"})))["<n>ms"] == 1
 
 
+def test_texts_are_read_piece_by_piece():
+    rnd = random.Random(14)
+    parts = ["src/a_b.c", "took=12ms", "1.2.3.", "deadbeef0123", "x_y-z/", "don't,", "...", ".", "end.\n", "\r\n", " ", "  ", "_", "été", "日本。語", "a" * 60, "\t", "12ab", "z."]
+    for _ in range(2000):
+        text = "".join(rnd.choice(parts) + rnd.choice(["", " "]) for _ in range(rnd.randint(0, 12)))
+        vocabulary = truncation.Vocabulary(frozenset())
+        assert vocabulary.numbers(text) == [vocabulary[t] for t in truncation._found(text)], text
+
+
 def test_ascii_texts_are_read_alike():
     rnd = random.Random(12)
     parts = ["src/a_b.c", "took=12ms", "1.2.3", "1.2", "3.", "deadbeef0123", "a" * 60, "x_y-z/", "don't", "...", ". ", ".", "\r\n", " ", "_", "(v2)", "ab12", "12ab", "/", "-"]
