@@ -26,6 +26,8 @@ from findlake.session import bounded, written
 
 #: A key with more events than this is folded period by period.
 HOT = 200_000
+#: Batches that a log is followed in.
+BATCHES = 2
 #: Fixed value: the digits that a shortened hash has at least.
 WIDTH = 12
 
@@ -93,11 +95,13 @@ def _chunked(log: DataFrame, hot: int) -> tuple[DataFrame, bool]:
     return log.join(bounded(counts), "key", "left").withColumn("chunk", chunk).drop("from", "period"), True
 
 
-def _folded(log: DataFrame, chunked: bool) -> DataFrame:
-    """The log with the state each event finds: alive, arrived (earliest so far), ever (earliest at all)."""
+def _folded(log: DataFrame, chunked: bool, ever: bool = True) -> DataFrame:
+    """The log with the state each event finds: alive, arrived (earliest so far), ever (earliest at all, if it is asked for)."""
     order = Window.partitionBy("key", "chunk").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     arrival = F.when(F.col("kind") == 0, F.col("at"))
     own = log.withColumns({"alive": F.sum("n").over(order), "arrived": F.min(arrival).over(order)})
+    if not chunked and not ever:
+        return own
     if not chunked:
         whole = Window.partitionBy("key", "chunk").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         return own.withColumn("ever", F.min(arrival).over(whole))
@@ -144,21 +148,21 @@ def snapshots(events: DataFrame, refs: DataFrame, hot: int = HOT) -> DataFrame:
 STATE = "key string, alive long, arrived timestamp_ntz, n_refs long"
 
 
-def advance(state: DataFrame, events: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def advance(state: DataFrame, events: DataFrame, refs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(new state, found) after one batch of the log, in which nothing is older than in the batches before.
 
     state(STATE): parents alive, earliest arrival and references so far, per key. found(row, key, at, had): references
-    that find no parent alive, and whether one had arrived. A key that the batch doesn't touch keeps its state."""
-    log = events.select("key", "at", "kind", "n", F.lit(None).cast("long").alias("row")).unionByName(
-        refs.select("key", "at", F.lit(2).alias("kind"), F.lit(0).alias("n"), "row")
-    )
-    arrival = F.when(F.col("kind") == 0, F.col("at"))
-    order = Window.partitionBy("key").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    own = log.withColumns({"_alive": F.sum("n").over(order), "_arrived": F.min(arrival).over(order)})
+    that find no parent alive, and whether one had arrived. A key that the batch doesn't touch keeps its state. Hot keys of
+    the batch are folded in periods (see the module's docstring)."""
+    return _advance(state, *_log(events, refs, hot))
+
+
+def _advance(state: DataFrame, log: DataFrame, chunked: bool) -> tuple[DataFrame, DataFrame]:
+    own = _folded(log, chunked, ever=False).withColumnsRenamed({"alive": "_alive", "arrived": "_arrived"})
     met = own.where("kind = 2").join(state.select("key", "alive", "arrived"), "key", "left")
     alive = F.col("_alive") + F.coalesce("alive", F.lit(0))
     found = met.where(alive <= 0).select("row", "key", "at", (F.col("_arrived").isNotNull() | F.col("arrived").isNotNull()).alias("had"))
-    batch = log.groupBy("key").agg(F.sum("n").alias("_n"), F.min(arrival).alias("_first"), F.count_if(F.col("kind") == 2).alias("_refs"))
+    batch = log.groupBy("key").agg(F.sum("n").alias("_n"), F.min(F.when(F.col("kind") == 0, F.col("at"))).alias("_first"), F.count_if(F.col("kind") == 2).alias("_refs"))
     zero = F.lit(0).cast("long")
     new = state.join(batch, "key", "full").select(
         "key", (F.coalesce("alive", zero) + F.coalesce("_n", zero)).alias("alive"), F.least("arrived", "_first").alias("arrived"),
@@ -167,6 +171,27 @@ def advance(state: DataFrame, events: DataFrame, refs: DataFrame) -> tuple[DataF
     return new, found
 
 
+def followed(events: DataFrame, refs: DataFrame, hot: int = HOT, batches: int = BATCHES) -> DataFrame:
+    """row, at, orphan_kind: the same as `orphans`, in batches of about as many events each, one after the other in time. A
+    batch reads the state that the one before has left; what is found is settled by the last state. The log is written
+    once; the times between batches (approximate quantiles) are all that is collected."""
+    spark = events.sparkSession
+    log = events.select("key", "at", "kind", "n", F.lit(None).cast("long").alias("row")).unionByName(refs.select("key", "at", F.lit(2).alias("kind"), F.lit(0).alias("n"), "row"))
+    log, chunked = _chunked(written(log, "log"), hot)
+    cuts = log.agg(F.percentile_approx(F.unix_micros(F.col("at").cast("timestamp")), [k / batches for k in range(1, batches)])).first()[0] if batches > 1 else []
+    times = [None, *sorted(set(cuts or [])), None]
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    state = spark.createDataFrame([], STATE)
+    found = spark.createDataFrame([], "row long, key string, at timestamp_ntz, had boolean")
+    for since, until in zip(times, times[1:]):
+        batch = log if since is None else log.where(micros > since)
+        batch = batch if until is None else batch.where(micros <= until)
+        new, here = _advance(state, batch, chunked)
+        found = found.unionByName(written(here, "found"))
+        state = written(new, "state")
+    return settle(found, state)
+
+
 def settle(found: DataFrame, state: DataFrame) -> DataFrame:
     """row, at, orphan_kind of found orphans by what has become known since: late, if a parent has arrived meanwhile."""
     kind = F.when(F.col("had"), "deleted").when(F.col("arrived").isNotNull(), "late").otherwise("missing")

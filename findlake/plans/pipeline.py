@@ -29,7 +29,7 @@ def _references(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, DataF
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     found = [
-        orphans.orphans(events, refs).select(F.lit(name).alias("source_table"), F.col("row").alias("source_row"), F.date_format("at", "yyyy-MM").alias("month_seen"), "orphan_kind")
+        orphans.followed(events, refs).select(F.lit(name).alias("source_table"), F.col("row").alias("source_row"), F.date_format("at", "yyyy-MM").alias("month_seen"), "orphan_kind")
         for name, events, refs in _references(spark, d)
     ]
     return found[0].unionByName(found[1])

@@ -226,7 +226,8 @@ def test_orphans_match_brute_force(spark, hot):
             continue
         want.append((row, at, "missing" if not own else "deleted" if any(c <= at for c, _ in own) else "late"))
     assert rows_of(orphans.orphans(events, probes, hot)) == sorted(want) and want
-    assert rows_of(orphans.orphans(events.limit(0), probes.limit(0), hot)) == []
+    assert rows_of(orphans.followed(events, probes, hot, 5)) == sorted(want) == rows_of(orphans.followed(events, probes, hot))
+    assert rows_of(orphans.orphans(events.limit(0), probes.limit(0), hot)) == [] == rows_of(orphans.followed(events.limit(0), probes.limit(0), hot))
     last = orphans.snapshots(events, probes).orderBy("month").collect()[-1]
     alive = defaultdict(bool)
     for k, c, g, _ in parents:
