@@ -6,7 +6,10 @@ file of any size is split like any other text."""
 
 from __future__ import annotations
 
+import sqlite3
+import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 from io import BytesIO
 
@@ -196,28 +199,78 @@ def crashes(spark: SparkSession, path: str) -> DataFrame:
     return kept.select("name", "input_hash", F.str_to_map("name", F.lit(","), F.lit(":")).alias("fields"))
 
 
-#: Most entries of an archive, and bytes of one, that are read.
-MAX_ENTRIES, MAX_BYTES = 10_000, 50_000_000
+#: Bytes of a member from which its text isn't read (a value of a column can't hold more than 2 GB).
+MAX_BYTES = 1 << 30
 
 
-def zip_members(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
-    """archive, member, text of the members with a suffix, within the size caps; unreadable archives give none."""
+def _members(name: str, content: bytes, suffix: str, max_bytes: int) -> Iterator[tuple[str, int, str | None]]:
+    """(member, its size, its text or None if it is larger than max_bytes) of a zip or tar archive, packed or not."""
+    if zipfile.is_zipfile(BytesIO(content)):
+        with zipfile.ZipFile(BytesIO(content)) as z:
+            for info in z.infolist():
+                if info.filename.endswith(suffix) and not info.is_dir():
+                    yield info.filename, info.file_size, z.read(info).decode("utf-8", "replace") if info.file_size <= max_bytes else None
+    else:
+        with tarfile.open(fileobj=BytesIO(content)) as t:
+            for info in t:
+                if info.isfile() and info.name.endswith(suffix):
+                    yield info.name, info.size, t.extractfile(info).read().decode("utf-8", "replace") if info.size <= max_bytes else None
+
+
+def archive_members(spark: SparkSession, path: str, suffix: str = "", max_bytes: int = MAX_BYTES) -> DataFrame:
+    """archive, member, bytes, text of all members with a suffix, however many there are; a member larger than max_bytes
+    has a null text, an archive that can't be read (on) a row with a null member."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), "content")
+    columns = ["archive", "member", "bytes", "text"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
             for archive, content in zip(pdf["archive"], pdf["content"]):
+                out, held = [], 0
+                try:
+                    for member, size, body in _members(archive, content, suffix, max_bytes):
+                        out.append((archive, member, size, body))
+                        held += size
+                        if held > 64 << 20:
+                            yield pd.DataFrame(out, columns=columns)
+                            out, held = [], 0
+                except (zipfile.BadZipFile, tarfile.TarError, RuntimeError, OSError, EOFError, zlib.error):
+                    out.append((archive, None, None, None))
+                yield pd.DataFrame(out, columns=columns)
+
+    return files.mapInPandas(run, "archive string, member string, bytes long, text string")
+
+
+def zip_members(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """archive, member, text of the members with a suffix; unreadable archives give none."""
+    return archive_members(spark, path, suffix).where("member is not null").select("archive", "member", "text")
+
+
+def sqlite_table(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """file and the columns of the schema of a table in SQLite files, a task per file; columns that a file's table lacks
+    are null, a file without the table or that is no database gives no rows. Databases are read from memory, rows in
+    batches."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    types = spark.createDataFrame([], schema).schema
+    columns = [f.name for f in types]
+    quoted = '"' + name.replace('"', '""') + '"'
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for file, content in zip(pdf["file"], pdf["content"]):
+                con = sqlite3.connect(":memory:")
                 try:
-                    with zipfile.ZipFile(BytesIO(content)) as z:
-                        for info in z.infolist()[:MAX_ENTRIES]:
-                            if info.filename.endswith(suffix) and not info.is_dir() and info.file_size <= MAX_BYTES:
-                                out.append((archive, info.filename, z.read(info).decode("utf-8", "replace")))
-                except (zipfile.BadZipFile, RuntimeError, OSError):
-                    continue
-            yield pd.DataFrame(out, columns=["archive", "member", "text"])
-
-    return files.mapInPandas(run, "archive string, member string, text string")
+                    con.deserialize(content)
+                    rows = con.execute(f"SELECT * FROM {quoted}")
+                    place = {d[0]: k for k, d in enumerate(rows.description)}
+                    while part := rows.fetchmany(10_000):
+                        yield pd.DataFrame({"file": [file] * len(part)} | {c: pd.Series([r[place[c]] if c in place else None for r in part], dtype="object") for c in columns})
+                except sqlite3.DatabaseError:
+                    pass
+                finally:
+                    con.close()
+
+    return files.mapInPandas(run, "file string, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in types))
 
 
 def or_empty(read, schema: str, spark: SparkSession) -> DataFrame:  # noqa: ANN001

@@ -180,3 +180,67 @@ def test_streams_match_batches(spark, tmp_path):
     for _ in range(2):
         events.upsert_counts(stream, str(tmp_path / "u"), str(tmp_path / "c2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "u")).agg(F.sum("n")).first()[0] == 125
+
+
+def test_archives_are_read_whole(spark, tmp_path):
+    import io
+    import tarfile
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for k in range(10_050):
+            z.writestr(f"d/{k}.json", str(k))
+        z.writestr("other.txt", "x")
+    with tarfile.open(tmp_path / "b.tar.gz", "w:gz") as t:
+        for name, body in (("one.json", b"1"), ("big.json", b"2" * 5000)):
+            info = tarfile.TarInfo(name)
+            info.size = len(body)
+            t.addfile(info, io.BytesIO(body))
+    (tmp_path / "c.zip").write_bytes(b"no archive")
+    rows = readers.archive_members(spark, str(tmp_path), ".json", max_bytes=4000).collect()
+    by = {(r.archive.rsplit("/", 1)[1], r.member): (r.bytes, r.text) for r in rows}
+    assert len(rows) == 10_053 and by["a.zip", "d/10049.json"] == (5, "10049") and by["b.tar.gz", "one.json"] == (1, "1")
+    assert by["b.tar.gz", "big.json"] == (5000, None) and by["c.zip", None] == (None, None)
+    assert readers.zip_members(spark, str(tmp_path), ".json").count() == 10_052
+
+
+def test_sqlite_tables(spark, tmp_path):
+    import sqlite3
+
+    for n in range(2):
+        con = sqlite3.connect(tmp_path / f"{n}.db")
+        con.execute("CREATE TABLE fixes (cve_id TEXT, hash TEXT, n INTEGER)" if n == 0 else "CREATE TABLE fixes (cve_id TEXT, extra TEXT)")
+        con.executemany("INSERT INTO fixes VALUES (?, ?, ?)" if n == 0 else "INSERT INTO fixes VALUES (?, ?)", [("CVE-1", "a", 1), ("CVE-2", None, None)] if n == 0 else [("CVE-3", "x")])
+        con.commit()
+        con.close()
+    (tmp_path / "x.db").write_bytes(b"nothing")
+    got = readers.sqlite_table(spark, str(tmp_path / "*.db"), "fixes", "cve_id string, hash string, n long")
+    assert sorted((r.cve_id, r.hash, r.n) for r in got.collect()) == [("CVE-1", "a", 1), ("CVE-2", None, None), ("CVE-3", None, None)]
+    assert readers.sqlite_table(spark, str(tmp_path / "*.db"), "absent", "a string").count() == 0
+
+
+def test_plateaus_in_any_order(spark, tmp_path):
+    """The same spells are told whatever order the files come in, once each, also of users who fall silent."""
+    import itertools
+    import os
+
+    lines = [{"event_id": k, "ts": f"2024-01-01T{k // 60:02d}:{k % 60:02d}:00Z", "user_id": k % 3, "event_type": "signup" if k in (0, 1, 2, 90) else "click", "value": 1.0, "props": ""} for k in range(120)]
+    for no, order in enumerate(itertools.permutations(range(3))):
+        src = tmp_path / f"in{no}"
+        src.mkdir()
+        for place, n in enumerate(order):
+            part = lines[n * 40 : n * 40 + 40] + (lines[:5] if n == 1 else [])
+            (src / f"{place}.json").write_text("\n".join(map(json.dumps, part)))
+            os.utime(src / f"{place}.json", (1_700_000_000 + place * 10,) * 2)
+        q = events.plateau_stream(events.read_events(spark, str(src), files_per_batch=1), 3600).writeStream.format("memory").queryName(f"any{no}").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        rows = sorted((r.user_id, r.at.minute + 60 * r.at.hour) for r in spark.table(f"any{no}").collect())
+        assert rows == [(0, 60), (1, 61), (2, 62)], (order, rows)
+    src = tmp_path / "silent"
+    src.mkdir()
+    for n, (user, hour) in enumerate([(1, 0), (2, 9), (2, 10)]):
+        (src / f"{n}.json").write_text(json.dumps({"event_id": n, "ts": f"2024-01-01T{hour:02d}:00:00Z", "user_id": user, "event_type": "signup", "value": 1.0, "props": ""}))
+        os.utime(src / f"{n}.json", (1_700_000_000 + n * 10,) * 2)
+    q = events.plateau_stream(events.read_events(spark, str(src), files_per_batch=1), 3600, late="1 minute").writeStream.format("memory").queryName("silent").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.user_id, r.at.hour) for r in spark.table("silent").collect()) == [(1, 1), (2, 10)]

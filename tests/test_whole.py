@@ -72,6 +72,69 @@ def test_totals_of_odd_lines(spark, tables, monkeypatch):
     assert rows_of(unknown) == [("even", 6, 0.0), ("odd", 12, 171.4286), ("zero", 6, 0.0)]
 
 
+def test_vectors_end_where_they_end(spark):
+    from pyspark.sql import functions as F
+
+    from findlake.functions import scores
+
+    good = "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H"
+    df = spark.createDataFrame([(good,), (good + "\n",), ("\n" + good,), (good + "/E:P",), (good[:-1] + "X",), (None,)], "v string")
+    assert [r.s for r in df.select(scores.base_score(F.col("v")).alias("s")).collect()] == [9.8, None, None, 9.8, None, None]
+
+
+def test_ancestors_of_any_depth(spark):
+    from findlake.operators import joins
+
+    deep = "/".join(f"d{k}" for k in range(80))
+    lower = spark.createDataFrame([(1, deep, "e"), (2, "", "e"), (3, deep, "f")], "row int, at string, eco string")
+    upper = spark.createDataFrame([("", 0, "root", "e"), ("d0/d1", 1, "near", "e"), ("d1", 2, "no", "e")], "dir string, position int, name string, eco string")
+    assert rows_of(joins.nearest_ancestor(lower, upper, ["eco"], "at", "dir", "row", "position", "name")) [:2] == [(1, "d0/d1", "near"), (2, "", "root")]
+    only_root = joins.nearest_ancestor(lower, upper.where("dir = ''"), ["eco"], "at", "dir", "row", "position", "name")
+    assert only_root.where("row = 1").first().name == "root"
+
+
+def test_tolerance_matches_brute_force(spark):
+    import random
+
+    from findlake.operators import joins
+
+    rnd = random.Random(3)
+    pick = rnd.choice
+    files, cwes = ["a/b.c", "x/a/b.c", "b.c", "y/d.c", "", None], ["CWE-1", "CWE-2", "CWE-3", None]
+    e = [(k, pick(files), pick(cwes), pick([None, 1, 60, 64, 100, 130, 700]), pick([None, 5, 64, 140, 800])) for k in range(150)]
+    p = [(k, pick(files), pick(cwes), pick([None, 1, 63, 64, 65, 120, 690]), pick([None, 70, 128, 900])) for k in range(150)]
+    family = {"CWE-1": ["CWE-2"], "CWE-2": ["CWE-1"]}
+    want = []
+    for i, f, c, lo, hi in e:
+        for j, g, q, a, b in p:
+            if f is None or g is None or not f or not g or c is None or q is None or not (f.endswith(g) or g.endswith(f)) or f.split("/")[-1] != g.split("/")[-1] or not (c == q or q in family.get(c, [])):
+                continue
+            top, end = hi if hi is not None else lo, b if b is not None else a
+            if lo is None or (a is not None and a <= top + 10 and end >= lo - 10):
+                want.append((i, j))
+    es = spark.createDataFrame(e, "expected_id int, file string, cwe string, line_start int, line_end int")
+    ps = spark.createDataFrame(p, "produced_id int, file string, cwe string, start_line int, end_line int")
+    assert rows_of(joins.tolerance_match(es, ps, 10, family)) == sorted(want) and want
+
+
+def test_snapshots_of_hot_keys(spark):
+    import random
+    from datetime import timedelta
+
+    from pyspark.sql import functions as F
+
+    from findlake.operators import orphans
+
+    rnd = random.Random(6)
+    day = lambda: T + timedelta(days=rnd.randint(0, 90), hours=rnd.randint(0, 23))
+    p = spark.createDataFrame([(rnd.choice("AAB"), day(), rnd.choice([None, day()])) for _ in range(60)], "key string, came timestamp_ntz, gone timestamp_ntz")
+    r = spark.createDataFrame([(k, rnd.choice("AAABC"), day()) for k in range(120)], "row long, key string, at timestamp_ntz")
+    log = orphans.parent_events(p, F.col("key"), F.col("came"), F.col("gone"))
+    plain = rows_of(orphans.snapshots(log, r))
+    assert rows_of(orphans.snapshots(log, r, 3)) == plain and len(plain) > 2
+    assert rows_of(orphans.orphans(log, r, 1)) == rows_of(orphans.orphans(log, r))
+
+
 def test_first_versions_of_all_texts(spark, tables):
     texts = [(1, "x" * 3000 + " 1.2"), (2, "v3.4 of 12345678901"), (3, "12345678901.5"), (4, "none"), (5, None), (6, "2147483647")]
     got = scalars.first_versions(spark, tables(documents=(texts, "doc_id bigint, text string")))
