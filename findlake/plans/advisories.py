@@ -89,3 +89,7 @@ al AS (SELECT osv_id, string_agg(DISTINCT upper(item_value), ' ' ORDER BY upper(
 k AS (SELECT ecosystem, name, pk.osv_id, coalesce(score, 0) AS score, coalesce(cves, pk.osv_id) AS finding FROM pk LEFT JOIN s1 USING (osv_id) LEFT JOIN al USING (osv_id))
 SELECT ecosystem, name, finding, first_value(osv_id) OVER (PARTITION BY ecosystem, name, finding ORDER BY score DESC, osv_id NOT LIKE 'GHSA-%', osv_id) AS primary_id, osv_id, score FROM k""",
 }
+#: Lists of bare values, whose table has one column; of several values in one place the greatest.
+ORACLES |= {
+    f"p2_table_{kind}": _CHILDREN + f"SELECT osv_id, parent_path, child_path, max(item_value) AS {kind} FROM val WHERE child_kind = '{kind}' AND item_value IS NOT NULL GROUP BY ALL" for kind in ("alias", "version")
+}
