@@ -2,7 +2,7 @@
 
 Each has an equality on a blocking key, so no plan compares all pairs: ancestors are exploded into keys, paths are
 blocked on their last part (two paths of which one ends with the other have the same), intervals on the buckets they
-touch, as-of lookups become one sorted union. Candidate pairs are checked exactly afterwards.
+touch or are made of, as-of lookups become one sorted union. Candidate pairs are checked exactly afterwards.
 Null keys never match. Empty sides give what an outer or inner join of that kind gives.
 """
 
@@ -82,13 +82,52 @@ def innermost(points: DataFrame, spans: DataFrame, key: str, at: str, row: str,
 
 
 def first_containing(points: DataFrame, spans: DataFrame, key: str, at: str, row: str) -> DataFrame:
-    """row, name of the first span in list order that holds the point; else the open-ended span (null hi) with the
-    greatest lo at or before it. Blocked on key; spans per key are bounded by the items of a file."""
-    met = points.join(spans, key).where((F.col("lo") <= F.col(at)) & (F.col("hi").isNull() | (F.col("hi") >= F.col(at))))
-    closed = F.min_by("name", F.when(F.col("hi").isNotNull(), F.col("position")))
-    opened = F.max_by("name", F.when(F.col("hi").isNull(), F.struct("lo", -F.col("position"))))
-    best = met.groupBy(row).agg(F.coalesce(F.when(F.count_if(F.col("hi").isNotNull()) > 0, closed), opened).alias("name"))
-    return points.select(row).join(best, row, "left")
+    """row, name of the first span in list order that holds the point (of equals the greater lo); else of the open-ended
+    span (null hi) with the greatest lo at or before it (of equals the first).
+
+    spans(key, name, lo, hi, position). No point meets all spans of its key: a closed span is entered under the aligned
+    blocks of 1, 2, 4, ... lines that it is made of (at most two of each size), each block keeps its first position, and a
+    distinct place looks up the blocks it lies in, one of each size. Open spans are an as-of lookup."""
+    place = Window.partitionBy(row)
+    position = F.coalesce(F.col("position").cast("long"), F.lit((1 << 63) - 1))
+    spans = spans.where(F.col(key).isNotNull())
+    closed = spans.where("lo <= hi").select(key, "name", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), position.alias("_pos"))
+    places = points.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, F.col(at).cast("long").alias("_at")).distinct()
+    first = places.select(key, "_at", F.explode(_blocks_around(F.col("_at"))).alias("_b")).join(
+        closed.select(key, "_pos", F.explode(_blocks_within(F.col("lo"), F.col("hi"))).alias("_b")).groupBy(key, "_b").agg(F.min("_pos").alias("_pos")), [key, "_b"]
+    ).groupBy(key, "_at").agg(F.min("_pos").alias("_pos"))
+    hit = lambda *order: F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], F.col("name")).alias("_hit")
+    held = first.join(closed, [key, "_pos"]).where(F.col("_at").between(F.col("lo"), F.col("hi")))
+    held = held.groupBy(key, "_at").agg(F.min(hit(F.lit(0), F.col("_pos"), -F.col("lo"))).alias("_hit"))
+    opened = spans.where("lo is not null and hi is null").select(key, "name", F.col("lo").cast("long").alias("lo"), position.alias("_pos"))
+    opened = opened.groupBy(key, "lo").agg(F.min(hit(F.lit(1), -F.col("lo"), F.col("_pos"))).alias("_hit"))
+    rest = places.join(held, [key, "_at"], "left_anti").withColumn("_place", F.struct(key, "_at"))
+    before = as_of(rest, opened, key, "_at", "lo", "_place", "_hit").select(f"_place.{key}", "_place._at", "_hit")
+    named = points.select(row, key, F.col(at).cast("long").alias("_at")).join(held.unionByName(before), [key, "_at"], "left")
+    return named.select(row, F.when(F.col(row).isNotNull(), F.min("_hit").over(place)["name"]).alias("name"))
+
+
+def _blocks_around(at: Column) -> Column:
+    """The aligned blocks that a line lies in, one of each size up to the line itself. Lines below 1 are mirrored (0 is -1)."""
+    side, x = F.when(at < 1, -1).otherwise(1), F.when(at < 1, 1 - at).otherwise(at)
+    return F.transform(F.sequence(F.lit(0), F.length(F.bin(x)) - 1), lambda k: side * (F.call_function("shiftright", x, k) * 64 + k))
+
+
+def _blocks_within(lo: Column, hi: Column) -> Column:
+    """The aligned blocks, as _blocks_around numbers them, that lo..hi is made of, disjoint and at most two of each size."""
+
+    def part(side: int, a: Column, b: Column) -> Column:
+        def of_size(k: Column) -> Column:
+            one = F.call_function("shiftleft", F.lit(1).cast("long"), k)
+            left, right = F.call_function("shiftright", a + one - 1, k), F.call_function("shiftright", b + 1, k)
+            odd = [F.when((left < right) & (left % 2 == 1), left), F.when((left < right) & (right % 2 == 1), right - 1)]
+            return F.transform(F.array_compact(F.array(*odd)), lambda n: side * (n * 64 + k))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.length(F.bin(b)) - 1), of_size))
+
+    none = F.array().cast("array<bigint>")
+    above = F.when(hi >= 1, part(1, F.greatest(lo, F.lit(1)), hi)).otherwise(none)
+    return F.concat(above, F.when(lo < 1, part(-1, 1 - F.least(hi, F.lit(0)), 1 - lo)).otherwise(none))
 
 
 def resolve_suffix(raw: DataFrame, known: DataFrame, path: str) -> DataFrame:

@@ -43,6 +43,44 @@ def test_points_in_intervals(spark):
     assert rows_of(joins.first_containing(p, s, "key", "at", "row")) == sorted(first, key=repr)
 
 
+def most_rows(df):
+    """The most rows that a node of the plan that ran has put out."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        kind = p.getClass().getSimpleName()
+        below = [p.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [p.plan()] if kind.endswith("QueryStageExec") else [p.children().apply(k) for k in range(p.children().size())]
+        n = p.metrics().get("numOutputRows")
+        most, todo = max(most, n.get().value() if n.isDefined() else 0), todo + below
+    return most
+
+
+def test_first_containing_in_one_file(spark):
+    """Many spans and points of one file: no pairs of all with all; lines of any sign and size, open spans, ties, repeated rows."""
+    rnd = random.Random(2)
+    n = 1000
+    far = [-(2**31), -70, 0, 1, 2**31 - 1]
+    spans = [("a", f"s{k}", lo, hi, k - k % 2) for k in range(n) for lo in [rnd.choice([rnd.randint(-60, 2400), rnd.choice(far)])] for hi in [None if k % 9 else min(lo + rnd.randint(0, 40), 2**31 - 1)]]
+    spans += [("a", f"wide{k}", rnd.randint(0, 1200), rnd.randint(1200, 2500), n + k) for k in range(n)] + [("b", "back", 9, 3, 1), ("b", None, 5, 6, 2), ("b", "none", None, 9, 3), (None, "x", 1, 9, 4)]
+    points = [(k, "a", rnd.randint(-80, 2600)) for k in range(n)] + [(n + k, "a", x) for k, x in enumerate(far)] + [(-1, "b", 5), (-2, "b", 7), (-3, None, 5), (-4, "b", None), (-5, "a", 100), (-5, "b", 5), (None, "a", 100)]
+    s = spark.createDataFrame(spans, "key string, name string, lo int, hi int, position int")
+    p = spark.createDataFrame(points, "row int, key string, at int")
+    best = {}
+    for row, key, at in points:
+        for k, name, lo, hi, pos in spans if None not in (row, key, at) else ():
+            if k == key and lo is not None and lo <= at and (hi is None or at <= hi):
+                order = (0, pos, -lo, "") if hi is not None else (1, -lo, pos, "")
+                if row not in best or order < best[row][0]:
+                    best[row] = (order, {name})
+                elif order == best[row][0]:
+                    best[row][1].add(name)
+    df = joins.first_containing(p, s, "key", "at", "row")
+    got = rows_of(df)
+    assert len(got) == len(points) and all(name in best.get(row, (None, {None}))[1] for row, name in got)
+    assert most_rows(df) < 40 * (len(points) + len(spans))
+
+
 def test_as_of_and_rules(spark):
     left = spark.createDataFrame([(1, "a", 5), (2, "a", 1), (3, "b", 9), (4, None, 3)], "row int, k string, t int")
     right = spark.createDataFrame([("a", 5, "same"), ("a", 3, "old"), ("a", None, "null"), ("b", 10, "later")], "k string, t int, v string")
